@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from docloom.llm import exact_dedup, mixing
 from docloom.llm.bpe import op1_bpe
 from docloom.llm.token_count import op7_token_counts
 
 
 def queries() -> dict:
-    found = (op1_bpe, op7_token_counts)
+    found = (op1_bpe, op7_token_counts, mixing.op8_mixing, exact_dedup.op10_exact_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
