@@ -1,11 +1,151 @@
-"""The named queries of the engine with their SQL equivalents."""
+"""The named queries of the engine with their SQL equivalents.
+
+The include_* queries follow relationships, a feature that the language describes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.engine import Engine
+from docloom.functions.types import FieldDef
+from docloom.operators import constraints, indexes, relationships
+from docloom.operators.relationships import Relationship
+
+IDS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "labels": "doc_id", "conversations": "conv_id"}
+CUSTOMER = Relationship("Customer", "orders", "customer", (("o_custkey", "c_custkey"),))
+ORDERS = Relationship("Orders", "customer", "orders", (("c_custkey", "o_custkey"),))
+
+
+def frame(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def engine(spark: SparkSession, sf_dir: str, *tables: str, semantics: str = "documented") -> Engine:
+    """An engine with the tables registered as bundles where they lie."""
+    found = Engine(spark, semantics=semantics)
+    for t in tables:
+        found.register_bundle(t, frame(spark, sf_dir, t), IDS[t])
+    return found
+
+
+def command(table: str, text: str, semantics: str = "documented", then: Callable | None = None) -> Callable:
+    """A query that runs one command over one table."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = engine(spark, sf_dir, table, semantics=semantics).execute(text)
+        return then(found) if then else found.result
+
+    return query
+
+
+def columns(*names: str) -> Callable:
+    return lambda found: found.result.select(*names)
+
+
+def over(table: str, fn: Callable[[DataFrame], DataFrame]) -> Callable:
+    """A query that applies fn to one table."""
+    return lambda spark, sf_dir: fn(frame(spark, sf_dir, table))
+
+
+def _string_field_against_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = frame(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
+    return Engine(spark).register_bundle("events", events, "event_id").sql('SELECT DOCUMENTS FROM "events" WHERE k > 90')
+
+
+def _bool_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = frame(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("is_quality"))
+    return Engine(spark).register_bundle("labels", labels, "doc_id").sql('SELECT DOCUMENTS FROM "labels" WHERE is_quality == TRUE')
+
+
+def _variant_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same filter on an undeclared field, kept in an open VARIANT column."""
+    events = frame(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("extra"))
+    return Engine(spark).register_bundle("events", events, "event_id").sql('SELECT event_id FROM "events" WHERE k > 90')
+
+
+def _fill_required(df: DataFrame) -> DataFrame:
+    given = df.select("conv_id", "turn", F.nullif("role", F.lit("system")).alias("role"))
+    return constraints.fill_required(given, [FieldDef("role", "STRING", True, False, "unknown")])
+
+
+def _include(text: str, *names: str) -> Callable:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = engine(spark, sf_dir, "orders", "customer").relate("Customer", "orders", "customer", ("o_custkey", "c_custkey"))
+        return found.sql(text).select(*names)
+
+    return query
+
+
+def _include_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationships.child_counts(frame(spark, sf_dir, "customer"), frame(spark, sf_dir, "orders"), ORDERS).select("c_custkey", "n_children")
+
+
+def _include_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relationships.include_nested(frame(spark, sf_dir, "customer"), frame(spark, sf_dir, "orders"), ORDERS, ["o_orderkey"])
+    return found.select("c_custkey", F.size("Orders").cast("long").alias("n_orders"), F.array_min(F.transform("Orders", lambda x: x["o_orderkey"])).alias("first_order"))
+
+
+#: key: (query, SQL).
+CATALOGUE: dict[str, tuple[Callable, str]] = {
+    "select_all": (command("customer", 'SELECT DOCUMENTS FROM "customer";'), "select * from customer"),
+    "where_eq_str": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE o_orderstatus == "F"'), "select * from orders where o_orderstatus = 'F'"),
+    "where_ne_str": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE o_orderstatus != "F"'), "select * from orders where o_orderstatus <> 'F'"),
+    "where_ne_str_compat": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE o_orderstatus != "F"', "compat"), "select * from orders where o_orderstatus = 'F'"),
+    "where_gt_num": (command("lineitem", 'SELECT DOCUMENTS FROM "lineitem" WHERE l_quantity > 45'), "select * from lineitem where l_quantity > 45"),
+    "where_lt_num": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE o_totalprice < 50000'), "select * from orders where o_totalprice < 50000"),
+    "where_gt_str": (command("customer", 'SELECT DOCUMENTS FROM "customer" WHERE c_mktsegment > "HOUSEHOLD"'), "select * from customer where c_mktsegment > 'HOUSEHOLD'"),
+    "where_gt_str_compat": (command("customer", 'SELECT DOCUMENTS FROM "customer" WHERE c_mktsegment > "HOUSEHOLD"', "compat"), "select * from customer where c_mktsegment = 'HOUSEHOLD'"),
+    "where_and": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE (o_orderstatus == "F" AND o_totalprice > 100000)'), "select * from orders where o_orderstatus = 'F' and o_totalprice > 100000"),
+    "where_or": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE (o_orderstatus == "P" OR o_totalprice > 300000)'), "select * from orders where o_orderstatus = 'P' or o_totalprice > 300000"),
+    "where_or_compat": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE (o_orderstatus == "P" OR o_totalprice > 300000)', "compat"), "select * from orders where o_orderstatus = 'P' and o_totalprice > 300000"),
+    "where_nested": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE ((o_orderstatus == "F" AND o_totalprice > 100000) OR (o_custkey < 10 AND o_orderstatus != "O"));'), "select * from orders where (o_orderstatus = 'F' and o_totalprice > 100000) or (o_custkey < 10 and o_orderstatus <> 'O')"),
+    "where_mixed_prec": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE o_orderstatus == "P" OR o_orderstatus == "F" AND o_totalprice > 400000'), "select * from orders where o_orderstatus = 'P' or o_orderstatus = 'F' and o_totalprice > 400000"),
+    "where_docid": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE DocumentID == 42'), "select * from orders where o_orderkey = 42"),
+    "where_missing_field": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE o_absent != 1'), "select * from orders where false"),
+    "where_num_vs_quoted": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE o_custkey == "42"'), "select * from orders where cast(o_custkey as double) = 42"),
+    "where_strfield_vs_num": (_string_field_against_number, "select event_id, event_type, json_extract_string(props, '$.k') as k from events where try_cast(json_extract_string(props, '$.k') as double) > 90"),
+    "where_variant_field": (_variant_field, "select event_id from events where try_cast(json_extract_string(props, '$.k') as double) > 90"),
+    "where_bool": (_bool_field, "select doc_id, quality = 1 as is_quality from labels where (quality = 1) = true"),
+    "result_count": (command("orders", 'SELECT DOCUMENTS FROM "orders" WHERE o_orderstatus == "F"', then=lambda found: found.count_frame()), "select count(*) as result_count from orders where o_orderstatus = 'F'"),
+    "project_fields": (command("orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey < 100"), "select o_orderkey, o_totalprice from orders where o_custkey < 100"),
+    "add_document": (command("orders", 'ADD DOCUMENT TO BUNDLE "orders" WITH ({"o_orderkey" = 999999999}, {"o_custkey" = 7}, {"o_orderstatus" = "F"})', then=columns("o_orderkey", "o_custkey", "o_orderstatus")), "select o_orderkey, o_custkey, o_orderstatus from orders union all select 999999999, 7, 'F'"),
+    "update_documents": (command("orders", 'UPDATE DOCUMENTS IN BUNDLE "orders" (o_orderstatus = "X") WHERE (o_custkey < 100)', then=columns("o_orderkey", "o_orderstatus")), "select o_orderkey, case when o_custkey < 100 then 'X' else o_orderstatus end as o_orderstatus from orders"),
+    "update_upserts_field": (command("orders", 'UPDATE DOCUMENTS IN BUNDLE "orders" (note = "hold") WHERE (o_orderstatus == "P")', then=columns("o_orderkey", "note")), "select o_orderkey, case when o_orderstatus = 'P' then 'hold' end as note from orders"),
+    "delete_documents": (command("orders", 'DELETE DOCUMENTS FROM BUNDLE "orders" WHERE (o_orderstatus == "F")'), "select * from orders where not (o_orderstatus = 'F')"),
+    "delete_gt": (command("orders", 'DELETE DOCUMENTS FROM BUNDLE "orders" WHERE (o_totalprice > 100000)'), "select * from orders where not (o_totalprice > 100000)"),
+    "alter_add_field": (command("orders", 'UPDATE BUNDLE "orders" ADD FIELD {"o_rank", "INT", TRUE, FALSE, 0}', then=lambda found: found.result.select("o_orderkey", "o_orderstatus", F.col("o_rank").cast("int").alias("o_rank"))), "select o_orderkey, o_orderstatus, cast(0 as integer) as o_rank from orders"),
+    "alter_remove_field": (command("orders", 'UPDATE BUNDLE "orders" REMOVE FIELD "o_orderpriority"', then=columns("o_orderkey", "o_custkey")), "select o_orderkey, o_custkey from orders"),
+    "alter_change_field": (command("orders", 'UPDATE BUNDLE "orders" CHANGE FIELD "o_orderstatus" TO {"status", "STRING", FALSE, FALSE}', then=columns("o_orderkey", "status")), "select o_orderkey, o_orderstatus as status from orders"),
+    "required_default_fill": (over("conversations", _fill_required), "select conv_id, turn, coalesce(nullif(role, 'system'), 'unknown') as role from conversations"),
+    "unique_violations": (over("orders", lambda df: constraints.unique_violations(df, "o_custkey")), "select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 1"),
+    "btree_point": (over("orders", lambda df: indexes.point(df, "o_custkey", 42).select("o_orderkey")), "select o_orderkey from orders where o_custkey = 42"),
+    "btree_range_closed": (over("orders", lambda df: indexes.between(df, "o_totalprice", 100000.0, 110000.0).select("o_orderkey")), "select o_orderkey from orders where o_totalprice >= 100000 and o_totalprice <= 110000"),
+    "btree_range_open_lo": (over("orders", lambda df: indexes.between(df, "o_totalprice", None, 10000.0).select("o_orderkey")), "select o_orderkey from orders where o_totalprice <= 10000"),
+    "btree_range_open_hi": (over("orders", lambda df: indexes.between(df, "o_totalprice", 400000.0, None).select("o_orderkey")), "select o_orderkey from orders where o_totalprice >= 400000"),
+    "btree_composite_eq": (over("lineitem", lambda df: indexes.composite(df, ["l_suppkey", "l_linenumber"], [5, 3]).select("l_orderkey", "l_linenumber")), "select l_orderkey, l_linenumber from lineitem where l_suppkey = 5 and l_linenumber = 3"),
+    "btree_composite_prefix": (over("lineitem", lambda df: indexes.composite(df, ["l_partkey", "l_suppkey"], [5]).select("l_orderkey", "l_linenumber")), "select l_orderkey, l_linenumber from lineitem where l_partkey = 5"),
+    "btree_composite_range": (over("lineitem", lambda df: indexes.composite_between(df, ["l_partkey", "l_suppkey"], [5, 3], [9, 2]).select("l_orderkey", "l_linenumber")), "select l_orderkey, l_linenumber from lineitem where (l_partkey > 5 or (l_partkey = 5 and l_suppkey >= 3)) and (l_partkey < 9 or (l_partkey = 9 and l_suppkey <= 2))"),
+    "btree_composite_unique": (over("orders", lambda df: indexes.unique_keys(df, ["o_custkey", "o_orderstatus"], "o_orderkey")), "select o_custkey, o_orderstatus, min(o_orderkey) as doc_id from orders group by o_custkey, o_orderstatus"),
+    "index_build_sort": (over("orders", lambda df: indexes.numbered(df, ["o_totalprice"], "o_orderkey").withColumnRenamed("o_totalprice", "key")), "select o_totalprice as key, o_orderkey as doc_id, row_number() over (order by o_totalprice, o_orderkey) as tid from orders"),
+    "hash_point": (over("customer", lambda df: indexes.hash_lookup(df, "c_name", "Customer#000000042").select("c_custkey")), "select c_custkey from customer where c_name = 'Customer#000000042'"),
+    "hash_ci": (over("customer", lambda df: indexes.hash_lookup(df, "c_mktsegment", "Building", True).select("c_custkey")), "select c_custkey from customer where lower(c_mktsegment) = lower('Building')"),
+    "hash_unique_violations": (over("customer", lambda df: indexes.hash_duplicates(df, "c_mktsegment")), "select c_mktsegment, count(*) as n from customer group by c_mktsegment having count(*) > 1"),
+    "hash_scan_all": (over("customer", lambda df: df.select(F.col("c_name").alias("key"), F.col("c_custkey").alias("doc_id"))), "select c_name as key, c_custkey as doc_id from customer"),
+    "include_one": (_include('SELECT DOCUMENTS FROM "orders" INCLUDE orders.Customer WHERE o_totalprice > 300000', "o_orderkey", "o_totalprice", "c_name", "c_mktsegment"), "select o.o_orderkey, o.o_totalprice, c.c_name, c.c_mktsegment from orders o left join customer c on o.o_custkey = c.c_custkey where o.o_totalprice > 300000"),
+    "include_child_filter": (_include('SELECT DOCUMENTS FROM "orders" INCLUDE orders.Customer WHERE o_totalprice > 300000 AND orders.Customer.c_mktsegment == "BUILDING"', "o_orderkey", "c_name"), "select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey where o.o_totalprice > 300000 and c.c_mktsegment = 'BUILDING'"),
+    "include_many_count": (_include_counts, "select c.c_custkey, count(o.o_orderkey) as n_children from customer c left join orders o on o.o_custkey = c.c_custkey group by c.c_custkey"),
+    "include_nested": (_include_nested, "select c.c_custkey, count(o.o_orderkey) as n_orders, min(o.o_orderkey) as first_order from customer c left join orders o on o.o_custkey = c.c_custkey group by c.c_custkey"),
+    "kv_lookup": (over("lineitem", lambda df: indexes.key_value_lookup(df, {"l_returnflag": "R", "l_linestatus": "F"}).select("l_orderkey", "l_linenumber")), "select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_linestatus = 'F'"),
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: q for k, (q, _) in CATALOGUE.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in CATALOGUE.items()}
