@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm import common
 
 SHORT_WORD = 128
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 150_000
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
 NO_RANK = 1 << 60
 
 
@@ -42,47 +44,50 @@ def byte_letters() -> list[str]:
 
 
 class PairMerger:
-    """Merges a word's parts by pair rank; parts are token ids."""
+    """Merges a word's parts by pair rank; parts are token ids.
 
-    def __init__(self, pair_rank: dict[tuple[int, int], tuple[int, int]]):
-        self.pair_rank = pair_rank
+    Pairs are keyed by ``left << ID_BITS | right`` and ranks held as
+    ``rank << ID_BITS | merged id``, so that plain integers are compared.
+    """
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        self.pair_rank: dict[int, int] = {}
+        for at, (left, right, new) in enumerate(merges):
+            self.pair_rank.setdefault(left << ID_BITS | right, at << ID_BITS | new)
 
     def merge(self, parts: list[int]) -> list[int]:
         return self._scan(parts) if len(parts) <= SHORT_WORD else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        known, none = self.pair_rank, (NO_RANK, -1)
-        ranks = [known.get(p, none) for p in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best[0] == NO_RANK:
-                break
+        rank_of = self.pair_rank.get
+        ranks = [rank_of(a << ID_BITS | b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != NO_RANK:
             at = ranks.index(best)
-            parts[at] = best[1]
+            new = parts[at] = best & ID_MASK
             del parts[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = known.get((parts[at], parts[at + 1]), none)
+                ranks[at] = rank_of(new << ID_BITS | parts[at + 1], NO_RANK)
             if at:
-                ranks[at - 1] = known.get((parts[at - 1], parts[at]), none)
+                ranks[at - 1] = rank_of(parts[at - 1] << ID_BITS | new, NO_RANK)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
-        known, n = self.pair_rank, len(parts)
+        rank_of, n = self.pair_rank.get, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*found, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (found := known.get((a, b)))]
+        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (rank := rank_of(a << ID_BITS | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, new, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:
                 continue
-            parts[i], parts[j] = new, -1
+            parts[i], parts[j] = rank & ID_MASK, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (found := known.get((parts[left], parts[right]))):
-                    heapq.heappush(heap, (*found, left, parts[left], parts[right]))
+                if left >= 0 and right < n and (rank := rank_of(parts[left] << ID_BITS | parts[right])) is not None:
+                    heapq.heappush(heap, (rank, left, parts[left], parts[right]))
         return [p for p in parts if p >= 0]
 
 
@@ -92,6 +97,9 @@ class ByteBpe:
     #: The public pattern that splits text before the merges; white space as Unicode defines it.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+".replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})")
 
+    #: Marks that never join a letter.
+    STOPS = frozenset(",.!?;:")
+
     def __init__(self, source: str):
         import regex
 
@@ -99,7 +107,7 @@ class ByteBpe:
         vocab, letters = spec["model"]["vocab"], byte_letters()
         as_byte = {c: b for b, c in enumerate(letters)}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merger = PairMerger({(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))})
+        self.merger = PairMerger([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.byte_id = [vocab[c] for c in letters]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
@@ -109,39 +117,33 @@ class ByteBpe:
             self.bytes_of[i] = token.encode()
         self.words = regex.compile(self.PATTERN).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.uneven_space = re.compile(r"\s\s|^\s|\s\Z").search
-        self.word_ids: dict[str, list[int]] = {}
-        self.chunk_ids: dict[str, list[int]] = {}
+        self.word_ids = common.Remembered(self._word, CACHE_ENTRIES // 5)
+        self.chunk_ids = common.Remembered(self._chunk, CACHE_ENTRIES)
 
     def _word(self, word: str) -> list[int]:
-        ids = self.word_ids.get(word)
-        if ids is None:
-            byte_id = self.byte_id
-            ids = self.merger.merge([byte_id[b] for b in word.encode("utf-8")])
-            if len(word) <= SHORT_WORD:
-                if len(self.word_ids) >= CACHE_ENTRIES:
-                    self.word_ids.clear()
-                self.word_ids[word] = ids
-        return ids
+        byte_id = self.byte_id
+        return self.merger.merge([byte_id[b] for b in word.encode("utf-8")])
 
     def _chunk(self, chunk: str) -> list[int]:
-        ids = self.chunk_ids.get(chunk)
-        if ids is None:
-            ids = list(chain.from_iterable(map(self._word, self.words(chunk))))
-            if len(chunk) <= SHORT_WORD:
-                if len(self.chunk_ids) >= CACHE_ENTRIES:
-                    self.chunk_ids.clear()
-                self.chunk_ids[chunk] = ids
-        return ids
+        """Ids of a chunk that stands after one space; [-1] if white space at its ends meets that of others."""
+        if chunk.isalpha():  # one word, likely a rare one
+            return self._word(" " + chunk)
+        if chunk[-1:] in self.STOPS and chunk[:-1].isalpha():
+            return self._word(" " + chunk[:-1]) + self.word_ids[chunk[-1]]
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            return [-1]
+        return list(chain.from_iterable(map(self.word_ids.__getitem__, self.words(" " + chunk))))
 
     def _plain(self, text: str) -> list[int]:
-        # Single spaces between chunks never change how a chunk is split, so chunks can be cached whole.
+        # Between single spaces a chunk is split alike wherever it stands, so its ids can be kept.
         if not text:
             return []
-        if self.uneven_space(text):
-            return list(chain.from_iterable(map(self._word, self.words(text))))
         first, *rest = text.split(" ")
-        return list(chain(self._chunk(first), chain.from_iterable(map(self._chunk, map(" ".__add__, rest)))))
+        if first and not first[0].isspace() and not first[-1].isspace():
+            ids = list(chain(chain.from_iterable(map(self.word_ids.__getitem__, self.words(first))), chain.from_iterable(map(self.chunk_ids.__getitem__, rest))))
+            if -1 not in ids:
+                return ids
+        return list(chain.from_iterable(map(self.word_ids.__getitem__, self.words(text))))
 
     def encode(self, text: str) -> list[int]:
         if self.split_special is None or not any(s in text for s in self.special):

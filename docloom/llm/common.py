@@ -49,6 +49,25 @@ def per_process(key, make: Callable):
     return state[key]
 
 
+class Remembered(dict):
+    """A bounded memo of make(key): at ``most`` entries a generation is set aside,
+    and what is asked again comes back from it.  Long keys are never kept."""
+
+    def __init__(self, make: Callable, most: int, longest: int = 64):
+        self.make, self.most, self.longest, self.aside = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.aside.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.aside = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def map_texts(docs: DataFrame, columns: list[str], schema: str, start: Callable, rows: int = 256) -> DataFrame:
     """Map (columns..., text) to rows of schema in Arrow batches, without a shuffle.
 
