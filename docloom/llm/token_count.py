@@ -18,7 +18,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import common
-from docloom.llm.bpe import CACHE_ENTRIES, SHORT_WORD, PairMerger, byte_letters
+from docloom.llm.bpe import CACHE_ENTRIES, PairMerger, byte_letters
 
 TOKEN_LIMIT = 2048
 
@@ -42,10 +42,7 @@ class WordCounter:
         vocab = spec["model"]["vocab"]
         self.end = spec["model"]["end_of_word_suffix"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        rank = {}
-        for at, (a, b) in enumerate(pairs):
-            rank.setdefault((vocab[a], vocab[b]), (at, vocab[a + b]))
-        self.merger = PairMerger(rank)
+        self.merger = PairMerger([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.letters = byte_letters()
         self.id_of = vocab
         self.special = [x["content"] for x in spec["added_tokens"]]
@@ -53,7 +50,7 @@ class WordCounter:
         self.pieces = regex.compile(self.PATTERN).findall
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.odd_space = re.compile("[\x1c-\x1f]").search  # white space to str.split only
-        self.cache: dict[str, int] = {}
+        self.cache = common.Remembered(self._chunk, 2 * CACHE_ENTRIES)
         self.single = self.proven()
 
     def merged(self, piece: str) -> int:
@@ -79,22 +76,17 @@ class WordCounter:
         return frozenset(found)
 
     def _chunk(self, chunk: str) -> int:
-        count = self.cache.get(chunk)
-        if count is None:
-            single, merged = self.single, self.merged
-            count = 1 if chunk in single and chunk.isalpha() else sum(1 if p in single else merged(p) for p in self.pieces(chunk))
-            if len(chunk) <= SHORT_WORD:
-                if len(self.cache) >= 2 * CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[chunk] = count
-        return count
+        single, merged = self.single, self.merged
+        if chunk in single and chunk.isalpha():
+            return 1
+        return sum(1 if p in single else merged(p) for p in self.pieces(chunk))
 
     def _plain(self, text: str) -> int:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
         text = text.lower()
         chunks = self.spaces.split(text) if self.odd_space(text) else text.split()
-        return sum(map(self._chunk, chunks))
+        return sum(map(self.cache.__getitem__, chunks))
 
     def count(self, text: str) -> int:
         if not any(s in text for s in self.special):
