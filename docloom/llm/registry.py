@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, mixing
-from docloom.llm.bpe import op1_bpe
-from docloom.llm.token_count import op7_token_counts
+from docloom.llm import bpe, exact_dedup, language, mixing, token_count, toxicity
 
 
 def queries() -> dict:
-    found = (op1_bpe, op7_token_counts, mixing.op8_mixing, exact_dedup.op10_exact_dedup)
+    found = (
+        bpe.op1_bpe,
+        toxicity.op3_toxicity,
+        language.op4_language,
+        token_count.op7_token_counts,
+        mixing.op8_mixing,
+        exact_dedup.op10_exact_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
