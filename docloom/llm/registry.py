@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, exact_dedup, language, mixing, token_count, toxicity
+from docloom.llm import bpe, exact_dedup, fingerprint, language, mixing, secrets, token_count, toxicity
 
 
 def queries() -> dict:
     found = (
         bpe.op1_bpe,
+        fingerprint.op2_fingerprint,
         toxicity.op3_toxicity,
         language.op4_language,
+        secrets.op6_secrets,
         token_count.op7_token_counts,
         mixing.op8_mixing,
         exact_dedup.op10_exact_dedup,
