@@ -199,7 +199,7 @@ def dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """
     rows = common.settled(docs.select("doc_id", F.sha2(common.text_of(docs), 256).alias("text_sha256"), F.coalesce(in_snapshot, F.lit(False)).alias("old")))
     snapshot, incoming = common.settled(groups(rows.where("old"))), groups(rows.where("not old"))
-    shards = max(1, math.ceil(snapshot.count() / KEYS_PER_SHARD))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(snapshot.count() / KEYS_PER_SHARD))
     positives = screen(incoming, build_filters(snapshot, shards), shards)
     same = common.settled(confirmed(docs, positives, snapshot, incoming)).withColumn("same", F.lit(True))
     # A side's group joins the other's only where the bytes agreed; a digest of one side is alone anyway.
