@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, exact_dedup, fingerprint, language, mixing, secrets, token_count, toxicity
+from docloom.llm import bpe, exact_dedup, fingerprint, language, mixing, near_dedup, secrets, token_count, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         fingerprint.op2_fingerprint,
         toxicity.op3_toxicity,
         language.op4_language,
+        near_dedup.op5_near_dedup,
         secrets.op6_secrets,
         token_count.op7_token_counts,
         mixing.op8_mixing,
