@@ -190,6 +190,22 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def encode_checked(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trips): encode, decode again and compare with the text."""
+    codec = _shared(docs.sparkSession, vocabulary)
+
+    def start():
+        bpe = codec()
+
+        def fn(keys, texts):
+            ids = [bpe.encode(t) for t in texts]
+            return [keys[0], list(map(len, ids)), ids, [bpe.decode(i) == t for i, t in zip(ids, texts)]]
+
+        return fn
+
+    return common.map_texts(docs, ["doc_id"], "doc_id long, n_tokens long, ids array<int>, round_trips boolean", start)
+
+
 def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Encode and decode in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     codec = _shared(docs.sparkSession, vocabulary)

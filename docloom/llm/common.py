@@ -21,15 +21,18 @@ def text_of(docs: DataFrame):
     return F.coalesce(docs["text"], F.lit(""))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, cutting its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; one is chosen here only
-    where none is set, as in tests on a single machine.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder below ``spark.checkpoint.dir``; one is chosen here only
+    where none is set, as in tests on a single machine."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back, cutting its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -17,7 +17,7 @@ is a source.  Repeated rows are chosen together.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import common
@@ -28,13 +28,13 @@ BITS, LEVELS = 10, 3
 BROADCAST_SOURCES = 10_000
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, cell): words and 30-bit hash cell of each document."""
+def sized(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, source or the columns to keep, size, cell): words and 30-bit hash cell of each document."""
     text = common.text_of(docs)
     words = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
     name = F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), text)
     cell = F.shiftrightunsigned(F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long"), 2)
-    return docs.select("doc_id", "source", words.cast("long").alias("size"), cell.alias("cell"))
+    return docs.select(*(keep or ["doc_id", "source"]), words.cast("long").alias("size"), cell.alias("cell"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -80,14 +80,30 @@ def thresholds(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     return asked.join(cut, F.col("source").eqNullSafe(F.col("of_source")), "left").select("source", "source_size", "target", "passes", F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
+def plan(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Each source's thresholds from sized rows; whether the table is small enough to broadcast."""
+    sources = common.settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    few = sources.count() <= BROADCAST_SOURCES
+    return common.settled(thresholds(rows, sources, few)), few
+
+
+def takes() -> Column:
+    return F.col("passes") + (F.col("cell") < F.col("threshold")).cast("long")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, takes) for every row of docs; takes: how often the mix has the row."""
     rows = common.settled(sized(docs))
-    sources = common.settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    few = sources.count() <= BROADCAST_SOURCES
-    cuts = common.settled(thresholds(rows, sources, few))
-    takes = F.col("passes") + (F.col("cell") < F.col("threshold")).cast("long")
-    return _with_source(rows, cuts, few).select("doc_id", "size", "source_size", "target", (takes * F.col("size")).alias("taken"), takes.alias("takes"))
+    cuts, few = plan(rows)
+    return _with_source(rows, cuts, few).select("doc_id", "size", "source_size", "target", (takes() * F.col("size")).alias("taken"), takes().alias("takes"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them; texts are not shuffled."""
+    cuts, few = plan(common.settled(sized(docs, ["source"])))
+    marked = sized(docs, docs.columns)
+    again = _with_source(marked, cuts, few).withColumn("_take", F.explode(F.array_repeat(F.lit(0), takes().cast("int"))))
+    return again.select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

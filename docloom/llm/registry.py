@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, exact_dedup, fingerprint, language, mixing, near_dedup, secrets, token_count, toxicity
+from docloom.llm import bpe, exact_dedup, fingerprint, language, licenses, mixing, near_dedup, secrets, token_count, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         secrets.op6_secrets,
         token_count.op7_token_counts,
         mixing.op8_mixing,
+        licenses.op9_licenses,
         exact_dedup.op10_exact_dedup,
     )
     return {f.__name__: f for f in found}

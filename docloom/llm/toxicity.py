@@ -14,6 +14,9 @@ doc_id are never inputs of a score.  Repeated rows are scored alike.
 
 from __future__ import annotations
 
+from typing import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,34 +127,52 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> list[tup
     return [(r["at"], r["weight"]) for r in fitted.collect()]
 
 
-def score(docs: DataFrame, weights: list[tuple[int, float]], keep: list[str] | None = None) -> DataFrame:
-    """(keep.., score) for every row of docs (text and the keep columns)."""
-    keep = keep or ["doc_id"]
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def start():
+class Scorer:
+    def __init__(self, weights: list[tuple[int, float]]):
         import numpy as np
 
-        features = common.per_process("toxicity", Features)
-        table, bias = np.zeros(1 << BITS), 0.0
-        for at, w in sent.value:
+        self.features, self.fitted = common.per_process("toxicity", Features), bool(weights)
+        self.table, self.bias = np.zeros(1 << BITS), 0.0
+        for at, w in weights:
             if at < 0:
-                bias = w
+                self.bias = w
             else:
-                table[at] = w
-        fitted = bool(sent.value)
+                self.table[at] = w
+
+    def score(self, text: str) -> float:
+        import numpy as np
+
+        if not self.fitted:
+            return 0.0
+        at = self.features.all(text)
+        hit = np.unique(at[self.table[at] != 0])
+        return float(1 / (1 + np.exp(-np.clip(self.table[hit].sum() + self.bias, -35, 35))))
+
+
+def score(docs: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
+    """(doc_id, score) for every row of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def start():
+        scorer = Scorer(sent.value)
+        return lambda keys, texts: [keys[0], [scorer.score(t) for t in texts]]
+
+    return common.map_texts(docs, ["doc_id"], "doc_id long, score double", start)
+
+
+def with_score(docs: DataFrame, weights: list[tuple[int, float]], name: str = "score") -> DataFrame:
+    """docs with a score column; only texts go to Python and only scores come back."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-        def one(text: str) -> float:
-            if not fitted:
-                return 0.0
-            at = features.all(text)
-            hit = np.unique(at[table[at] != 0])
-            return float(1 / (1 + np.exp(-np.clip(table[hit].sum() + bias, -35, 35))))
+    def run(series):
+        import pandas as pd
 
-        return lambda keys, texts: [*keys, [one(t) for t in texts]]
+        scorer = Scorer(sent.value)
+        for texts in series:
+            yield pd.Series([scorer.score(t or "") for t in texts], dtype="float64")
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return common.map_texts(docs, keep, f"{kinds}, score double", start)
+    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.withColumn(name, F.pandas_udf(run, "double")("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
