@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, encoding.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next one's docs.  All but the last return the columns
+of documents.
+
+* Rows with a toxicity score of 0.7 or more go.
+* Of equal texts the row with the largest doc_id stays, of near-duplicate groups the
+  one with the smallest.  Rows without a doc_id stay, as copies are named by id.
+* Mixing repeats or leaves out rows to meet its sources' targets.
+* Encoding gives every row's token ids; round_trips says that decoding gave the text.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import bpe, common, exact_dedup, mixing, near_dedup
+from docloom.llm import toxicity as toxic
+
+#: SQL cannot express the first and the last stage.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    weights = toxic.train(docs, common.table(spark, sf_dir, "labels"))
+    return toxic.with_score(docs, weights, "_score").where(F.col("_score") < toxic.REJECT_AT).drop("_score")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    dropped = exact_dedup.dedup(docs, exact_dedup.half(docs["doc_id"])).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256")).distinct()
+    same = (docs["doc_id"] == dropped["_id"]) & (F.sha2(common.text_of(docs), 256) == dropped["_sha256"])
+    return docs.join(dropped, same, "left_anti")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    dropped = near_dedup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_checked(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("bpe", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written to the shared checkpoint folder."""
+    docs = common.table(spark, sf_dir, "documents")
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
