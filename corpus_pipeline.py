@@ -27,7 +27,8 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = toxic.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxic.with_score(docs, weights, "_score").where(F.col("_score") < toxic.REJECT_AT).drop("_score")
+    name = "_score" + "_" * max(map(len, docs.columns))  # no column has it
+    return toxic.with_score(docs, weights, name).where(F.col(name) < toxic.REJECT_AT).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

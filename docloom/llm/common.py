@@ -93,4 +93,5 @@ def map_texts(docs: DataFrame, columns: list[str], schema: str, start: Callable,
                 made = fn(lists[:-1], lists[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, out_schema)], schema=out_schema)
 
-    return docs.select(*[docs[c] for c in columns], text_of(docs).alias("text")).mapInArrow(run, schema)
+    picked = [docs[c].cast("long").alias(c) if c == "doc_id" else docs[c] for c in columns]
+    return docs.select(*picked, text_of(docs).alias("text")).mapInArrow(run, schema)

@@ -101,9 +101,9 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them; texts are not shuffled."""
     cuts, few = plan(common.settled(sized(docs, ["source"])))
-    marked = sized(docs, docs.columns)
-    again = _with_source(marked, cuts, few).withColumn("_take", F.explode(F.array_repeat(F.lit(0), takes().cast("int"))))
-    return again.select(*docs.columns)
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))  # no clash with the names used here
+    again = _with_source(sized(packed, ["source", "_row"]), cuts, few).withColumn("_take", F.explode(F.array_repeat(F.lit(0), takes().cast("int"))))
+    return again.select("_row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
