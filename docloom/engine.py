@@ -299,6 +299,28 @@ class Engine:
         rows = [(f.name, f.dataType.simpleString(), *((d.required, d.unique, None if d.default is None else str(d.default)) if (d := declared.get(f.name)) else (False, False, None))) for f in df.schema]
         return self.spark.createDataFrame(rows, "field string, type string, required boolean, unique boolean, default_value string")
 
+    def export_documents(self, bundle: str) -> DataFrame:
+        """Documents in the exchange shape: (Name, DocumentId, Fields) with one entry per field, values as text."""
+        df, id_col = self._frame(bundle)
+        declared = {f.name: f for f in (self.registered[bundle].fields if bundle in self.registered else self.database.fields(bundle))}
+
+        def entry(f):
+            d = declared.get(f.name)
+            default = F.lit(None if d is None or d.default is None else str(d.default)).cast("string")
+            value = F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("struct", "map", "array", "variant") else F.col(f"`{f.name}`").cast("string")
+            return F.struct(F.lit(f.name).alias("Name"), F.lit(f.dataType.simpleString()).alias("Type"), value.alias("Value"), default.alias("DefaultValue"), F.lit(bool(d and d.required)).alias("Required"), F.lit(bool(d and d.unique)).alias("Unique"))
+
+        return df.select(F.lit(bundle).alias("Name"), F.col(id_col).cast("string").alias("DocumentId"), F.array(*[entry(f) for f in df.schema if f.name != id_col]).alias("Fields"))
+
+    def cache_bundle(self, bundle: str) -> Engine:
+        """Keep a registered bundle in executor memory, spilling to their disks, until uncache_bundle."""
+        self.registered[bundle].df.persist()
+        return self
+
+    def uncache_bundle(self, bundle: str) -> Engine:
+        self.registered[bundle].df.unpersist()
+        return self
+
     def _AddDocument(self, c: S.AddDocument) -> CommandResponse:
         df, id_col = self._frame(c.bundle)
         return self.add_documents(c.bundle, dml.one_row(df, {id_col if n.lower() == "documentid" else n: v for n, v in c.values.items()}))

@@ -14,6 +14,7 @@ from docloom.engine import Engine
 from docloom.functions.types import FieldDef
 from docloom.operators import constraints, indexes, relationships
 from docloom.operators.relationships import Relationship
+from docloom.sources.scratch import fresh
 
 IDS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "labels": "doc_id", "conversations": "conv_id"}
 CUSTOMER = Relationship("Customer", "orders", "customer", (("o_custkey", "c_custkey"),))
@@ -89,6 +90,75 @@ def _include_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", F.size("Orders").cast("long").alias("n_orders"), F.array_min(F.transform("Orders", lambda x: x["o_orderkey"])).alias("first_order"))
 
 
+def stored(spark: SparkSession, journal: bool = False) -> Engine:
+    """An engine over a new database in the shared folder."""
+    found = Engine(spark, fresh(spark, "databases"), journal=journal)
+    found.execute("CREATE DATABASE bench")
+    return found.connect("bench")
+
+
+ORDER_FIELDS = '({"o_orderkey", INT, TRUE, TRUE}, {"o_custkey", INT, TRUE, FALSE}, {"o_orderstatus", STRING, FALSE, FALSE, "P"}, {"o_totalprice", FLOAT, FALSE, FALSE})'
+
+
+def stored_orders(spark: SparkSession, sf_dir: str) -> Engine:
+    found = stored(spark)
+    found.execute(f'CREATE BUNDLE "orders" WITH FIELDS {ORDER_FIELDS}')
+    found.add_documents("orders", frame(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+    return found
+
+
+def _stored_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk add, update, delete and alter of a stored bundle, then a select of its last version."""
+    found = stored_orders(spark, sf_dir)
+    found.execute('UPDATE DOCUMENTS IN "orders" (o_orderstatus = "X", note = "hold") WHERE o_custkey < 100')
+    found.execute('DELETE DOCUMENTS FROM "orders" WHERE o_totalprice > 400000')
+    found.execute('UPDATE BUNDLE "orders" CHANGE FIELD "o_orderstatus" TO {"status", "STRING", FALSE, FALSE} ADD FIELD {"o_rank", "INT", TRUE, FALSE, 7}')
+    return found.sql('SELECT o_orderkey, status, note, o_rank FROM "orders" WHERE status != "O"')
+
+
+def _stored_sorted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A select that a sorted layout answers alone."""
+    found = stored_orders(spark, sf_dir)
+    found.execute('CREATE B-INDEX "by_price" ON BUNDLE "orders" WITH FIELDS ({"o_totalprice", FALSE}, {"o_orderkey", FALSE})')
+    return found.sql('SELECT o_orderkey FROM "orders" WHERE o_totalprice >= 100000 AND o_totalprice <= 110000')
+
+
+def _stored_hashed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed layout; equality reads one bucket."""
+    name = "hashed_" + fresh(spark, "x").rsplit("-", 1)[1]
+    return indexes.hash_lookup(indexes.save_hashed(frame(spark, sf_dir, "customer"), "c_name", ["c_custkey"], name), "c_name", "Customer#000000042").select("c_custkey")
+
+
+def _list_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark).sql("SELECT DATABASES FROM DEFAULT;").select("name")
+
+
+def _bundle_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(spark)
+    found.execute(f'CREATE BUNDLE "orders" WITH FIELDS {ORDER_FIELDS}')
+    return found.bundle_fields("orders").where("field like 'o_%'")
+
+
+def _list_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(spark)
+    found.execute(f'CREATE BUNDLE "orders" WITH FIELDS {ORDER_FIELDS}')
+    found.execute('CREATE B-INDEX "a" ON BUNDLE "orders" WITH FIELDS ({"o_custkey", FALSE})')
+    found.execute('CREATE H-INDEX "b" ON BUNDLE "orders" WITH FIELDS ({"o_orderkey", FALSE, TRUE})')
+    found.drop_index("orders", "a")
+    return found.list_indexes("orders").select("name", "kind", "unique")
+
+
+def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(spark, journal=True)
+    found.execute(f'CREATE BUNDLE "orders" WITH FIELDS {ORDER_FIELDS}')
+    return found.journal.read().select("bundle", "details")
+
+
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(spark, sf_dir, "customer").export_documents("customer")
+    return found.select("DocumentId", F.size("Fields").cast("long").alias("n_fields"), F.col("Fields")[0]["Value"].alias("first_value"))
+
+
 #: key: (query, SQL).
 CATALOGUE: dict[str, tuple[Callable, str]] = {
     "select_all": (command("customer", 'SELECT DOCUMENTS FROM "customer";'), "select * from customer"),
@@ -139,6 +209,14 @@ CATALOGUE: dict[str, tuple[Callable, str]] = {
     "include_child_filter": (_include('SELECT DOCUMENTS FROM "orders" INCLUDE orders.Customer WHERE o_totalprice > 300000 AND orders.Customer.c_mktsegment == "BUILDING"', "o_orderkey", "c_name"), "select o.o_orderkey, c.c_name from orders o join customer c on o.o_custkey = c.c_custkey where o.o_totalprice > 300000 and c.c_mktsegment = 'BUILDING'"),
     "include_many_count": (_include_counts, "select c.c_custkey, count(o.o_orderkey) as n_children from customer c left join orders o on o.o_custkey = c.c_custkey group by c.c_custkey"),
     "include_nested": (_include_nested, "select c.c_custkey, count(o.o_orderkey) as n_orders, min(o.o_orderkey) as first_order from customer c left join orders o on o.o_custkey = c.c_custkey group by c.c_custkey"),
+    "stored_lifecycle": (_stored_lifecycle, "select * from (select o_orderkey, case when o_custkey < 100 then 'X' else o_orderstatus end as status, case when o_custkey < 100 then 'hold' end as note, 7::bigint as o_rank from orders where not (o_totalprice > 400000)) where status <> 'O'"),
+    "stored_sorted_index": (_stored_sorted_index, "select o_orderkey from orders where o_totalprice >= 100000 and o_totalprice <= 110000"),
+    "stored_hashed_index": (_stored_hashed_index, "select c_custkey from customer where c_name = 'Customer#000000042'"),
+    "list_databases": (_list_databases, "select 'bench' as name"),
+    "bundle_fields": (_bundle_fields, "select * from (values ('o_orderkey', 'bigint', true, true, null), ('o_custkey', 'bigint', true, false, null), ('o_orderstatus', 'string', false, false, 'P'), ('o_totalprice', 'double', false, false, null)) t(field, type, required, \"unique\", default_value)"),
+    "list_indexes": (_list_indexes, "select 'b' as name, 'hashed' as kind, true as \"unique\""),
+    "journal": (_journal, "select 'bench' as bundle, 'Database ''bench'' created successfully.' as details union all select 'orders', 'Bundle ''orders'' created successfully in database ''bench''.'"),
+    "export_documents": (_export, "select cast(c_custkey as varchar) as \"DocumentId\", 4::bigint as n_fields, c_name as first_value from customer"),
     "kv_lookup": (over("lineitem", lambda df: indexes.key_value_lookup(df, {"l_returnflag": "R", "l_linestatus": "F"}).select("l_orderkey", "l_linenumber")), "select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_linestatus = 'F'"),
 }
 
