@@ -351,7 +351,8 @@ class Engine:
 
     def _UpdateDocuments(self, c: S.UpdateDocuments) -> CommandResponse:
         df, id_col = self._frame(c.bundle)
-        changed = dml.update(df, c.values, self._filter(c.where, df, id_col), "UpdatedAt" if self.semantics == "documented" else None)
+        where = self._filter(c.where, df, id_col)
+        changed = dml.update(df, c.values, where, "UpdatedAt") if self.semantics == "documented" else dml.update_raw(df, c.raw, where)
         return self._rewritten(c.bundle, changed, f"Documents updated in bundle '{c.bundle}'.")
 
     def _DeleteDocuments(self, c: S.DeleteDocuments) -> CommandResponse:

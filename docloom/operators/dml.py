@@ -54,6 +54,13 @@ def update(df: DataFrame, values: dict, where: Column, touch: str | None = None)
     return df.withColumns(made)
 
 
+def update_raw(df: DataFrame, raw: dict[str, str], where: Column) -> DataFrame:
+    """As older clients stored it: values stay the text that was written, so a set field becomes a string field."""
+    hit = F.coalesce(where, F.lit(False))
+    kept = lambda name: F.col(f"`{name}`").cast("string") if name in df.columns else F.lit(None).cast("string")
+    return df.withColumns({name: F.when(hit, F.lit(text)).otherwise(kept(name)) for name, text in raw.items()})
+
+
 def delete(df: DataFrame, where: Column) -> DataFrame:
     """df without the matching documents; a null comparison matches nothing."""
     return df.where(~F.coalesce(where, F.lit(False)))

@@ -184,6 +184,7 @@ CATALOGUE: dict[str, tuple[Callable, str]] = {
     "project_fields": (command("orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey < 100"), "select o_orderkey, o_totalprice from orders where o_custkey < 100"),
     "add_document": (command("orders", 'ADD DOCUMENT TO BUNDLE "orders" WITH ({"o_orderkey" = 999999999}, {"o_custkey" = 7}, {"o_orderstatus" = "F"})', then=columns("o_orderkey", "o_custkey", "o_orderstatus")), "select o_orderkey, o_custkey, o_orderstatus from orders union all select 999999999, 7, 'F'"),
     "update_documents": (command("orders", 'UPDATE DOCUMENTS IN BUNDLE "orders" (o_orderstatus = "X") WHERE (o_custkey < 100)', then=columns("o_orderkey", "o_orderstatus")), "select o_orderkey, case when o_custkey < 100 then 'X' else o_orderstatus end as o_orderstatus from orders"),
+    "update_documents_compat": (command("orders", 'UPDATE DOCUMENTS IN BUNDLE "orders" (o_orderstatus = "X") WHERE (o_custkey < 100)', "compat", then=columns("o_orderkey", "o_orderstatus")), """select o_orderkey, case when o_custkey < 100 then '"X"' else o_orderstatus end as o_orderstatus from orders"""),
     "update_upserts_field": (command("orders", 'UPDATE DOCUMENTS IN BUNDLE "orders" (note = "hold") WHERE (o_orderstatus == "P")', then=columns("o_orderkey", "note")), "select o_orderkey, case when o_orderstatus = 'P' then 'hold' end as note from orders"),
     "delete_documents": (command("orders", 'DELETE DOCUMENTS FROM BUNDLE "orders" WHERE (o_orderstatus == "F")'), "select * from orders where not (o_orderstatus = 'F')"),
     "delete_gt": (command("orders", 'DELETE DOCUMENTS FROM BUNDLE "orders" WHERE (o_totalprice > 100000)'), "select * from orders where not (o_totalprice > 100000)"),

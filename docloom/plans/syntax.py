@@ -122,6 +122,7 @@ class UpdateDocuments:
     bundle: str
     values: dict
     where: object
+    raw: dict = field(default_factory=dict)  # the values as written, quotes included
 
 
 @dataclass(frozen=True)

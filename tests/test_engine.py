@@ -107,6 +107,18 @@ def test_delete_keeps_nulls_and_laws_hold(spark):
     assert kept == [(1,)] and engine.execute('SELECT DOCUMENTS FROM "t"').result_count == 2
 
 
+def test_compat_updates_keep_the_written_text(spark):
+    engine = Engine(spark, semantics="compat").register_bundle("t", spark.createDataFrame([(1, 5), (2, 6)], "id long, n long"), "id")
+    assert values(engine.sql('UPDATE DOCUMENTS IN "t" (n = "x", m = 7) WHERE id == 2').fillna("-"), "n", "m") == [('"x"', "7"), ("5", "-")]
+
+
+def test_export_and_json(spark):
+    engine = Engine(spark).register_bundle("t", spark.createDataFrame([(1, 5)], "id long, n long"), "id")
+    row = engine.cache_bundle("t").export_documents("t").first()
+    assert (row.DocumentId, row.Fields[0].Name, row.Fields[0].Value) == ("1", "n", "5")
+    assert engine.uncache_bundle("t").execute('SELECT DOCUMENTS FROM "t"').to_json().first().document == '{"id":1,"n":5}'
+
+
 def test_lookups(spark):
     df = spark.createDataFrame([(1, 1, "A"), (2, 1, "a"), (3, 2, "b"), (4, -5, "c"), (5, None, None)], "id long, k long, s string")
     assert [r.tid for r in indexes.numbered(df, ["k"], "id").orderBy("k", "doc_id").collect()] == [1, 2, 3, 4]
