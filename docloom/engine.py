@@ -353,17 +353,20 @@ class Engine:
         df, id_col = self._frame(c.bundle)
         where = self._filter(c.where, df, id_col)
         changed = dml.update(df, c.values, where, "UpdatedAt") if self.semantics == "documented" else dml.update_raw(df, c.raw, where)
-        return self._rewritten(c.bundle, changed, f"Documents updated in bundle '{c.bundle}'.")
+        fields = None
+        if self.semantics == "compat" and c.bundle not in self.registered:  # fields that now hold written text
+            fields = [replace(f, type="STRING", default=None if f.default is None else str(f.default)) if f.name in c.raw else f for f in self.database.fields(c.bundle)]
+        return self._rewritten(c.bundle, changed, f"Documents updated in bundle '{c.bundle}'.", fields)
 
     def _DeleteDocuments(self, c: S.DeleteDocuments) -> CommandResponse:
         df, id_col = self._frame(c.bundle)
         return self._rewritten(c.bundle, dml.delete(df, self._filter(c.where, df, id_col)), f"Documents deleted from bundle '{c.bundle}'.")
 
-    def _rewritten(self, bundle: str, df: DataFrame, message: str) -> CommandResponse:
+    def _rewritten(self, bundle: str, df: DataFrame, message: str, fields: list | None = None) -> CommandResponse:
         if bundle in self.registered:
             self.registered[bundle] = replace(self.registered[bundle], df=df)
             return CommandResponse(df, message)
-        self.database.commit(bundle, df)
+        self.database.commit(bundle, df, fields)
         return CommandResponse(message=message)
 
 

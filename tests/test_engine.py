@@ -112,6 +112,12 @@ def test_compat_updates_keep_the_written_text(spark):
     assert values(engine.sql('UPDATE DOCUMENTS IN "t" (n = "x", m = 7) WHERE id == 2').fillna("-"), "n", "m") == [('"x"', "7"), ("5", "-")]
 
 
+def test_compat_update_of_a_stored_bundle(shop):
+    shop.semantics = "compat"
+    shop.execute('UPDATE DOCUMENTS IN "Products" (Age = 40) WHERE Name == "a"')
+    assert values(shop.sql('SELECT Age FROM "Products"'), "Age") == [("2",), ("2",), ("40",)]
+
+
 def test_export_and_json(spark):
     engine = Engine(spark).register_bundle("t", spark.createDataFrame([(1, 5)], "id long, n long"), "id")
     row = engine.cache_bundle("t").export_documents("t").first()
