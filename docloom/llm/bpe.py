@@ -60,7 +60,11 @@ class PairMerger:
 
     def _scan(self, parts: list[int]) -> list[int]:
         rank_of = self.pair_rank.get
-        ranks = [rank_of(a << ID_BITS | b, NO_RANK) for a, b in zip(parts, parts[1:])]
+        return self.merge_ranked(parts, [rank_of(a << ID_BITS | b, NO_RANK) for a, b in zip(parts, parts[1:])])
+
+    def merge_ranked(self, parts: list[int], ranks: list[int]) -> list[int]:
+        """parts with the ranks of their adjacent pairs, merged in place."""
+        rank_of = self.pair_rank.get
         while ranks and (best := min(ranks)) != NO_RANK:
             at = ranks.index(best)
             new = parts[at] = best & ID_MASK
@@ -91,6 +95,10 @@ class PairMerger:
         return [p for p in parts if p >= 0]
 
 
+class Uneven(Exception):
+    """A text with more than single spaces between chunks."""
+
+
 class ByteBpe:
     """Encoder and decoder for one byte-level vocabulary file, given as its JSON text."""
 
@@ -109,6 +117,8 @@ class ByteBpe:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merger = PairMerger([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.byte_id = [vocab[c] for c in letters]
+        rank_of = self.merger.pair_rank.get
+        self.byte_ranks = [[rank_of(a << ID_BITS | b, NO_RANK) for b in self.byte_id] for a in self.byte_id]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes_of = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in vocab.items():
@@ -121,28 +131,35 @@ class ByteBpe:
         self.chunk_ids = common.Remembered(self._chunk, CACHE_ENTRIES)
 
     def _word(self, word: str) -> list[int]:
-        byte_id = self.byte_id
-        return self.merger.merge([byte_id[b] for b in word.encode("utf-8")])
+        raw = word.encode("utf-8")
+        if len(raw) > SHORT_WORD:
+            return self.merger.merge([self.byte_id[b] for b in raw])
+        byte_id, byte_ranks = self.byte_id, self.byte_ranks
+        return self.merger.merge_ranked([byte_id[b] for b in raw], [byte_ranks[a][b] for a, b in zip(raw, raw[1:])])
 
     def _chunk(self, chunk: str) -> list[int]:
-        """Ids of a chunk that stands after one space; [-1] if white space at its ends meets that of others."""
+        """Ids of a chunk that stands after one space; Uneven, not remembered, if white space at its ends meets that of others."""
         if chunk.isalpha():  # one word, likely a rare one
             return self._word(" " + chunk)
         if chunk[-1:] in self.STOPS and chunk[:-1].isalpha():
             return self._word(" " + chunk[:-1]) + self.word_ids[chunk[-1]]
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return [-1]
+            raise Uneven
         return list(chain.from_iterable(map(self.word_ids.__getitem__, self.words(" " + chunk))))
 
     def _plain(self, text: str) -> list[int]:
         # Between single spaces a chunk is split alike wherever it stands, so its ids can be kept.
         if not text:
             return []
-        first, *rest = text.split(" ")
+        chunks = iter(text.split(" "))
+        first = next(chunks)
         if first and not first[0].isspace() and not first[-1].isspace():
-            ids = list(chain(chain.from_iterable(map(self.word_ids.__getitem__, self.words(first))), chain.from_iterable(map(self.chunk_ids.__getitem__, rest))))
-            if -1 not in ids:
+            try:
+                ids = list(chain.from_iterable(map(self.word_ids.__getitem__, self.words(first))))
+                ids.extend(chain.from_iterable(map(self.chunk_ids.__getitem__, chunks)))
                 return ids
+            except Uneven:
+                pass
         return list(chain.from_iterable(map(self.word_ids.__getitem__, self.words(text))))
 
     def encode(self, text: str) -> list[int]:

@@ -83,15 +83,21 @@ def map_texts(docs: DataFrame, columns: list[str], schema: str, start: Callable,
     out_schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator) -> Iterator:
+        import gc
+
         import pyarrow as pa
 
         fn = start()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                lists = [part.column(i).to_pylist() for i in range(part.num_columns)]
-                made = fn(lists[:-1], lists[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, out_schema)], schema=out_schema)
+        gc.disable()  # texts make many lists and no cycles
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    part = batch.slice(at, rows)
+                    lists = [part.column(i).to_pylist() for i in range(part.num_columns)]
+                    made = fn(lists[:-1], lists[-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, out_schema)], schema=out_schema)
+        finally:
+            gc.enable()
 
     picked = [docs[c].cast("long").alias(c) if c == "doc_id" else docs[c] for c in columns]
     return docs.select(*picked, text_of(docs).alias("text")).mapInArrow(run, schema)
