@@ -42,14 +42,19 @@ def fold_is_held_out(doc_id):
 
 
 def per_process(key, make: Callable):
-    """make() once per Python worker process; later tasks in the worker share it."""
+    """make() once per Python worker process; later tasks in the worker share it.
+
+    A worker keeps one such object: another operator's goes when this one's comes.
+    """
     import sys
     import types
 
-    state = sys.modules.setdefault("_docloom_worker_state", types.ModuleType("_docloom_worker_state")).__dict__
-    if key not in state:
-        state[key] = make()
-    return state[key]
+    state = sys.modules.setdefault("_docloom_worker_state", types.ModuleType("_docloom_worker_state"))
+    if getattr(state, "key", None) != key:
+        state.key = state.value = None
+        state.value = make()
+        state.key = key
+    return state.value
 
 
 class Remembered(dict):

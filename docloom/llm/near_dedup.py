@@ -40,7 +40,7 @@ class Shingler:
         import numpy as np
         import xxhash
 
-        self.words = common.Remembered(xxhash.xxh64_intdigest, 300_000)
+        self.words = common.Remembered(xxhash.xxh64_intdigest, 100_000)
         rng = np.random.default_rng(20240607)
         self.factors = (rng.integers(0, 2**63, (COORDINATES, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
         self.masks = rng.integers(0, 2**63, (COORDINATES, 1), dtype=np.uint64)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ class Features:
     def __init__(self):
         import xxhash
 
-        self.words = common.Remembered(lambda w: xxhash.xxh64_intdigest(w.lower().strip(MARKS)), 300_000)
+        self.words = common.Remembered(lambda w: xxhash.xxh64_intdigest(w.lower().strip(MARKS)), 100_000)
 
     def all(self, text: str):
         """Indices of all features, repeats included."""
@@ -164,15 +164,13 @@ def with_score(docs: DataFrame, weights: list[tuple[int, float]], name: str = "s
     """docs with a score column; only texts go to Python and only scores come back."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def run(series):
-        import pandas as pd
-
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
-        for texts in series:
-            yield pd.Series([scorer.score(t or "") for t in texts], dtype="float64")
+        for texts in arrays:
+            parts = (texts.slice(at, 256).to_pylist() for at in range(0, len(texts), 256))
+            yield pa.array([scorer.score(t or "") for part in parts for t in part], pa.float64())
 
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(name, F.pandas_udf(run, "double")("text"))
+    return docs.withColumn(name, F.arrow_udf(run, "double")("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
