@@ -54,10 +54,16 @@ STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared checkpoint folder."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages applied to documents, each written to the shared checkpoint folder.
+
+    A stage's files are removed once the next stage is written.
+    """
+    docs, before = common.table(spark, sf_dir, "documents"), None
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            common.remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
