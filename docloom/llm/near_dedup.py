@@ -214,10 +214,16 @@ def candidate_edges(posted: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): the smallest node that each reaches.
 
-    Labels go to neighbours and then to the label's own label, until none changes; each
-    round is written to the shared folder.
+    Forests of overlapping lists name many roots for one node, so first each node keeps its
+    smallest root, and its other roots are tied to that one, which leaves about one edge a
+    node.  Then labels go to neighbours and to the label's own label, until none changes;
+    each round is written to the shared folder.
     """
-    both = common.settled(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    known = common.settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    first = known.groupBy("b").agg(F.min("a").alias("m"))
+    tied = known.join(first, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    fewer = first.select(F.col("m").alias("a"), "b").unionByName(tied).distinct()
+    both = common.settled(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component"))
     labels = common.settled(labels)
     while True:
