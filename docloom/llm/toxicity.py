@@ -86,23 +86,48 @@ class Ftrl:
         self.bias -= BIAS_RATE * g
 
 
+class TrainingSet:
+    """Feature indices of labelled rows in a few large arrays; texts are let go at once."""
+
+    def __init__(self):
+        self.features, self.flat, self.ends, self.rows = Features(), [], [], []
+
+    def add(self, ids: list, labels: list[int], texts: list[str]) -> None:
+        import numpy as np
+
+        found = [self.features.distinct(t).astype(np.int32) for t in texts]
+        self.rows += [(i, label, len(self.flat), at) for at, (i, label) in enumerate(zip(ids, labels))]
+        self.ends.append(np.cumsum([0, *map(len, found)]))
+        self.flat.append(np.concatenate(found))
+
+    def fit(self) -> list[tuple[int, float]]:
+        """(index, weight) of the non-zero weights; the bias has index -1.  [] without two classes."""
+        import numpy as np
+
+        if len({label for _, label, *_ in self.rows}) < 2:
+            return []
+        self.features, having = None, np.zeros(1 << BITS, np.int64)
+        for part in self.flat:
+            having += np.bincount(part, minlength=1 << BITS)
+        for k, part in enumerate(self.flat):
+            often = having[part] >= LEAST_ROWS
+            self.ends[k] = np.concatenate([[0], np.cumsum(often)])[self.ends[k]]
+            self.flat[k] = part[often]
+        rows, model = sorted(self.rows), Ftrl()
+        for epoch in range(EPOCHS):
+            for i in np.random.default_rng(epoch).permutation(len(rows)):
+                _, label, k, at = rows[i]
+                model.learn(self.flat[k][self.ends[k][at] : self.ends[k][at + 1]], label)
+        held = np.flatnonzero(np.abs(model.z) > L1)
+        return [(-1, float(model.bias)), *zip(held.tolist(), model.weights(held).tolist())]
+
+
 def fit(rows: list[tuple[str, int]]) -> list[tuple[int, float]]:
-    """(index, weight) of the non-zero weights; the bias has index -1.  [] without two classes."""
-    import numpy as np
-
-    if len({label for _, label in rows}) < 2:
-        return []
-    features, model = Features(), Ftrl()
-    seen = [(features.distinct(text).astype(np.int32), label) for text, label in rows]
-    having = np.zeros(1 << BITS, np.int32)
-    for at, _ in seen:
-        having[at] += 1
-    seen = [(at[having[at] >= LEAST_ROWS], label) for at, label in seen]
-    for epoch in range(EPOCHS):
-        for i in np.random.default_rng(epoch).permutation(len(seen)):
-            model.learn(*seen[i])
-    held = np.flatnonzero(np.abs(model.z) > L1)
-    return [(-1, float(model.bias)), *zip(held.tolist(), model.weights(held).tolist())]
+    """The weights learned from (text, label) rows."""
+    found = TrainingSet()
+    if rows:
+        found.add(list(range(len(rows))), [label for _, label in rows], [text for text, _ in rows])
+    return found.fit()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
@@ -116,10 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> list[tup
     """The fitted weights.  Bounded: ``most`` rows reach the one training task, and at most 2^BITS weights leave it."""
 
     def run(batches):
-        import pyarrow as pa
-
-        rows = sorted((r["doc_id"], r["toxic"], r["text"]) for b in batches for r in b.to_pylist())
-        found = fit([(text, toxic) for _, toxic, text in rows])
+        found = TrainingSet()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found.add(*(c.to_pylist() for c in batch.slice(at, 256).columns))
+        found = found.fit()
         yield pa.RecordBatch.from_pydict({"at": pa.array([i for i, _ in found], pa.int64()), "weight": pa.array([w for _, w in found], pa.float64())})
 
     sample = training_rows(docs, labels, most).withColumn("toxic", F.col("toxic").cast("int"))
