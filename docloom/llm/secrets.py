@@ -3,7 +3,7 @@
 A Boolean trigram query is derived from each rule's regex: an OR over the texts that
 a mandatory part of it can match, each an AND of that text's trigrams.  The index has
 a posting (trigram, doc_id) for the trigrams that queries ask; postings are
-intersected by counting each clause's trigrams per document.  Only candidates are
+intersected per document, as bits.  Only candidates are
 verified with the regex.  A rule without mandatory trigrams scans every text.
 
 Null texts count as empty.  Rows without a doc_id are not in the index and are
@@ -119,12 +119,24 @@ def build_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """(doc_id, kinds): the rules of which some clause's postings all have the document."""
-    terms = [(kind, i, len(clause), t) for kind, clauses in queries.items() for i, clause in enumerate(clauses) for t in sorted(clause)]
-    asked = index.sparkSession.createDataFrame(terms, "kind string, clause int, needed int, term string")  # as many rows as the rules have trigrams
+    """(doc_id, kinds): the rules of which some clause's postings all have the document.
+
+    Postings are intersected as bits: a document's are or-ed, map-side first, into masks
+    of 63 trigrams, and a clause is met if the masks have all its bits.
+    """
+    number = {t: i for i, t in enumerate(sorted({t for q in queries.values() for c in q for t in c}))}
+    bits = [(t, i // 63, 1 << i % 63) for t, i in number.items()]
+    asked = index.sparkSession.createDataFrame(bits, "term string, word int, bit long")  # a row for each trigram of the rules
     joined = index.join(F.broadcast(asked), index["trigram"] == asked["term"])
-    met = joined.distinct().groupBy("doc_id", "kind", "clause", "needed").agg(F.count("*").alias("n"))
-    return met.where("n = needed").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    words = range(max(w for _, w, _ in bits) + 1)
+    masks = joined.groupBy("doc_id").agg(*[F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"mask{w}") for w in words])
+
+    def met(clause: frozenset[str]) -> Column:
+        needed = [sum(1 << number[t] % 63 for t in clause if number[t] // 63 == w) for w in words]
+        return reduce(lambda a, b: a & b, [F.col(f"mask{w}").bitwiseAND(F.lit(m)) == F.lit(m) for w, m in enumerate(needed) if m])
+
+    kinds = [F.when(reduce(lambda a, b: a | b, map(met, clauses)), F.lit(kind)) for kind, clauses in queries.items()]
+    return masks.select("doc_id", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
 
 
 def spans(text: str, rule: Rule, number: int) -> Column:
