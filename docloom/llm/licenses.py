@@ -5,9 +5,11 @@ subsequence of their positions gives anchors, and the gaps between anchors are a
 in the same way, down to equal runs at their ends.  Coverage is the share of the
 template's words that are aligned; a notice is found where it reaches ``LEAST``.
 
-Words repeat when a notice does, so a text is first cut into windows that hold
-enough of the template's words, each about as long as the template; a document without
-enough of them for any template is not aligned at all.  Whole texts are read.
+Words repeat when a notice does, so a text is aligned in windows that hold enough of
+the template's words, each about as long as the template.  Of overlapping windows the
+one of the best coverage gives the notice, of equal ones the shortest span; what is
+left before and behind it is searched again.  A document without enough of the words
+for any template is not aligned at all.  Whole texts are read.
 
 Null and empty texts, and texts without notices, have an empty license and coverage
 0.0.  Ties go to the template listed first.  Repeated rows are found alike.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -114,19 +117,70 @@ class Scanner:
         return len(raw), sorted(found, key=lambda x: x[1:3])
 
     def _windows(self, words: list[str], template: list[str], known: frozenset[str]):
+        """(first word, last word, coverage) of each notice of the template."""
         hits = [i for i, w in enumerate(words) if w in known]
-        width, least, at = int(STRETCH * len(template)) + 1, LEAST * len(template), 0
-        while at < len(hits):
-            stop = bisect_left(hits, hits[at] + width)
-            if stop - at >= least:
-                low = hits[at]
-                pairs = align(words[low : low + width], template)
-                if len(pairs) >= least:
-                    first, last = low + pairs[0][0], low + pairs[-1][0]
-                    yield first, last, len(pairs) / len(template)
-                    at = bisect_left(hits, last + 1)
-                    continue
-            at += 1
+        todo, need = [(0, len(words))], Counter(template)
+        while todo:
+            low, high = todo.pop()
+            starts = self._starts(words, template, need, hits, low, high)
+            if not starts:
+                continue
+            reach = starts[0][1] + self._width(template)
+            near = [x for x in starts if x[1] < reach]
+            best = self._best(words, template, near, high)
+            if best is None:
+                todo.append((near[-1][1] + 1, high))
+                continue
+            n, first, last = best
+            yield first, last, n / len(template)
+            todo += [(low, first), (last + 1, high)]
+
+    @staticmethod
+    def _width(template: list[str]) -> int:
+        return int(STRETCH * len(template)) + 1
+
+    def _starts(self, words: list[str], template: list[str], need: Counter, hits: list[int], low: int, high: int) -> list[tuple[int, int]]:
+        """(words shared, start) of the windows in words[low:high] that share ``LEAST`` of the template's words,
+        each of them as often as the template has it: up to a width behind the first of them."""
+        width, least = self._width(template), LEAST * len(template)
+        at, stop = bisect_left(hits, low), bisect_left(hits, high)
+        held, shared, end, found = dict.fromkeys(need, 0), 0, at, []
+        for k in range(at, stop):
+            start = hits[k]
+            if found and start >= found[0][1] + width:
+                break
+            while end < stop and hits[end] < start + width:
+                w = words[hits[end]]
+                held[w] += 1
+                shared += held[w] <= need[w]
+                end += 1
+            if shared >= least:
+                found.append((shared, start))
+            w = words[start]
+            shared -= held[w] <= need[w]
+            held[w] -= 1
+        return found
+
+    def _best(self, words: list[str], template: list[str], starts: list[tuple[int, int]], high: int) -> tuple[int, int, int] | None:
+        """(words aligned, first word, last word) of the window that aligns most, of equal ones the shortest."""
+        size, width = len(template), self._width(template)
+        best = None
+
+        def consider(low: int, stop: int):
+            nonlocal best
+            pairs = align(words[low:stop], template)
+            if len(pairs) < LEAST * size:
+                return
+            first, last = low + pairs[0][0], low + pairs[-1][0]
+            if best is None or (len(pairs), first - last) > (best[0], best[1] - best[2]):
+                best = len(pairs), first, last
+
+        for shared, low in sorted(starts, key=lambda x: (-x[0], -x[1])):
+            if best and (shared < best[0] or best[0] == size == best[2] - best[1] + 1):
+                break
+            for wide in (size, width):
+                consider(low, min(low + wide, high))
+        return best
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

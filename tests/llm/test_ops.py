@@ -313,3 +313,14 @@ def test_patience_alignment():
     assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs)
     assert len(pairs) == 5
     assert licenses.align([], b) == [] and licenses.align(["x", "x"], ["x"]) == [(0, 0)]
+
+
+PROSE = "It is known to all of the readers of this book that the use of a copy in the house is not to be sold or lent, and that any person may include it in the list of things to do. In the following part the author of the work is free to deal with the conditions under which this version of it was made, without limit or warranties of any kind."
+
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_notices_within_prose_are_found_whole(name):
+    notice = licenses.TEMPLATES[name]
+    for text, times in ((f"{PROSE} {notice} {PROSE}", 1), (f"{PROSE} {notice} and {notice} {PROSE} {notice}", 3)):
+        found = [x for x in licenses.Scanner(licenses.TEMPLATES).scan(text)[1] if x[0] == name]
+        assert found == [(name, m.start(), m.end(), 1.0) for m in re.finditer(re.escape(notice), text)] and len(found) == times
