@@ -8,8 +8,9 @@ template's words that are aligned; a notice is found where it reaches ``LEAST``.
 Words repeat when a notice does, so a text is aligned in windows that hold enough of
 the template's words, each about as long as the template.  Of overlapping windows the
 one of the best coverage gives the notice, of equal ones the shortest span; what is
-left before and behind it is searched again.  A document without enough of the words
-for any template is not aligned at all.  Whole texts are read.
+left before and behind it is searched again.  A document that lacks words which make
+up more than 1 - ``LEAST`` of a template, repeats counted, is not aligned with it.
+Whole texts are read.
 
 Null and empty texts, and texts without notices, have an empty license and coverage
 0.0.  Ties go to the template listed first.  Repeated rows are found alike.
@@ -100,6 +101,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.templates = [(name, [w for w in map(plain, text.split()) if w]) for name, text in templates.items()]
         self.sets = [frozenset(words) for _, words in self.templates]
+        self.counts = [Counter(words) for _, words in self.templates]
         self.plain = common.Remembered(plain, 200_000)
         self.words = re.compile(r"\S+")
 
@@ -108,18 +110,19 @@ class Scanner:
         raw = text.split()
         words = list(map(self.plain.__getitem__, raw))
         have, found, spans = set(words), [], None
-        for (name, template), known in zip(self.templates, self.sets):
-            if len(known & have) < LEAST * len(known):
+        for (name, template), known, need in zip(self.templates, self.sets, self.counts):
+            lacking = sum(map(need.__getitem__, known - have))
+            if len(template) - lacking < LEAST * len(template):
                 continue
             spans = spans or [m.span() for m in self.words.finditer(text)]
-            for first, last, coverage in self._windows(words, template, known):
+            for first, last, coverage in self._windows(words, template, need):
                 found.append((name, spans[first][0], spans[last][1], coverage))
         return len(raw), sorted(found, key=lambda x: x[1:3])
 
-    def _windows(self, words: list[str], template: list[str], known: frozenset[str]):
+    def _windows(self, words: list[str], template: list[str], need: Counter):
         """(first word, last word, coverage) of each notice of the template."""
-        hits = [i for i, w in enumerate(words) if w in known]
-        todo, need = [(0, len(words))], Counter(template)
+        hits = [i for i, w in enumerate(words) if w in need]
+        todo = [(0, len(words))]
         while todo:
             low, high = todo.pop()
             starts = self._starts(words, template, need, hits, low, high)

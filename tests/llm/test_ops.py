@@ -3,7 +3,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -324,3 +324,14 @@ def test_notices_within_prose_are_found_whole(name):
     for text, times in ((f"{PROSE} {notice} {PROSE}", 1), (f"{PROSE} {notice} and {notice} {PROSE} {notice}", 3)):
         found = [x for x in licenses.Scanner(licenses.TEMPLATES).scan(text)[1] if x[0] == name]
         assert found == [(name, m.start(), m.end(), 1.0) for m in re.finditer(re.escape(notice), text)] and len(found) == times
+
+
+@pytest.mark.parametrize("name, edits", [("bsd-2-clause", 8), ("mit", 12)])
+def test_notices_with_replaced_single_words_are_found(name, edits):
+    words = licenses.TEMPLATES[name].split()
+    counts = Counter(map(licenses.plain, words))
+    single = [i for i, w in enumerate(words) if counts[licenses.plain(w)] == 1]
+    middle = single[len(single) // 2 - edits // 2 :][:edits]
+    text = " ".join(f"zz{i}" if i in middle else w for i, w in enumerate(words))
+    found = [x for x in licenses.Scanner(licenses.TEMPLATES).scan(f"foo {text} bar")[1] if x[0] == name]
+    assert found == [(name, 4, 4 + len(text), (len(words) - edits) / len(words))]
