@@ -1,13 +1,14 @@
 """Near-duplicate groups by a signature-coordinate inverted join.
 
 1.  A document's set is its distinct 3-word shingles.  Equal sets form a class, and
-    one row per class goes on: copies, however many, cost nothing further.
+    one row per class goes on: copies, however many, cost nothing further.  With two
+    measures a document has a set for each, and a class is equal in both.
 2.  A class has a MinHash signature of ``COORDINATES`` values.  Coordinate-value pairs
-    that one class alone has are dropped; a class with fewer than ``MATCHES`` left has
-    no partner.  Of c left it is posted under its c - MATCHES + 1 rarest: two classes
-    that agree on MATCHES pairs meet in one of those lists (prefix filter).
+    that one class alone has are dropped; a class with fewer than ``matches`` left has
+    no partner.  Of c left it is posted under its c - matches + 1 rarest: two classes
+    that agree on matches pairs meet in one of those lists (prefix filter).
 3.  Each list counts collisions coordinate by coordinate and skips pairs that can no
-    longer reach MATCHES.  Lists longer than ``BLOCK`` are cut into blocks that meet
+    longer reach matches.  Lists longer than ``BLOCK`` are cut into blocks that meet
     pairwise in tasks of their own.  A task returns a spanning forest of its matching
     pairs, never the pairs, so its output is bounded by its input.
 4.  The forests' components are candidate groups.  Their members' texts are read once,
@@ -16,20 +17,25 @@
 5.  Components of these forests are the near-duplicate groups.
 
 Two sets of similarity 0.85 agree on fewer than 16 of 32 coordinates with a chance of
-5e-7; links are exact in any case.  Null texts and texts without words have an empty
+6e-7, of similarity 0.8 on fewer than 14 with 1.2e-6; links are exact in any case.  Null texts and texts without words have an empty
 set and are linked with nothing.  Rows without doc_id stay apart, with a null
 component.  Rows that share a doc_id share a component.  Texts are never cut.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import common
 
-WORDS, PERCENT = 3, 85
-COORDINATES, MATCHES = 32, 16
+COORDINATES = 32
+#: (words, percent, matches): two sets of shingles of so many words are linked from percent on, and meet on so many coordinates.
+CONTRACT = ((3, 85, 16),)
+#: The pipeline links by either measure.
+EITHER = (*CONTRACT, (5, 80, 14))
 BLOCK, TEXT_BLOCK = 512, 256
 
 
@@ -45,15 +51,20 @@ class Shingler:
         self.factors = (rng.integers(0, 2**63, (COORDINATES, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
         self.masks = rng.integers(0, 2**63, (COORDINATES, 1), dtype=np.uint64)
 
-    def set_of(self, text: str):
-        """Sorted distinct uint64 hashes of the text's shingles."""
+    def hashes(self, text: str):
+        """uint64 hashes of the text's words."""
         import numpy as np
 
         words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+
+    def set_of(self, h, words: int):
+        """Sorted distinct uint64 hashes of the shingles of ``words`` words, from the words' hashes."""
+        import numpy as np
+
         if len(h) == 0:
             return h
-        width = min(WORDS, len(h))
+        width = min(words, len(h))
         mixed = np.full(len(h) - width + 1, width, np.uint64)
         for i in range(width):
             mixed = (mixed ^ h[i : len(h) - width + 1 + i]) * np.uint64(0x9FB21C651E98DF25)
@@ -72,8 +83,12 @@ class Shingler:
         return low.view(np.int32)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature) of every row; digest and signature are null for empty sets."""
+def sketches(docs: DataFrame, measures: tuple = CONTRACT) -> DataFrame:
+    """(doc_id, n_shingles, digest, signatures) of every row; digest and signatures are null for empty sets.
+
+    n_shingles is the first measure's; signatures has one for each measure.
+    """
+    widths = [words for words, _, _ in measures]
 
     def start():
         import hashlib
@@ -81,28 +96,31 @@ def sketches(docs: DataFrame) -> DataFrame:
         shingler = common.per_process("shingles", Shingler)
 
         def one(text):
-            s = shingler.set_of(text)
-            return (len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), shingler.signature(s).tolist()) if len(s) else (0, None, None)
+            h = shingler.hashes(text)
+            if len(h) == 0:
+                return 0, None, None
+            sets = [shingler.set_of(h, words) for words in widths]
+            return len(sets[0]), hashlib.blake2b(b"".join(x.tobytes() for x in sets), digest_size=16).digest(), [shingler.signature(x).tolist() for x in sets]
 
         return lambda keys, texts: [keys[0], *map(list, zip(*map(one, texts)))]
 
-    return common.map_texts(docs, ["doc_id"], "doc_id long, n_shingles long, digest binary, signature array<int>", start)
+    return common.map_texts(docs, ["doc_id"], "doc_id long, n_shingles long, digest binary, signatures array<array<int>>", start)
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(digest, rep, signature): one row per set, named by its smallest doc_id."""
+    """(digest, rep, signatures): one row per set, named by its smallest doc_id."""
     known = rows.where("digest is not null and doc_id is not null")
-    return known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    return known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"))
 
 
-def postings(sets: DataFrame) -> DataFrame:
+def postings(sets: DataFrame, matches: int, measure: int = 0) -> DataFrame:
     """(key, rep, side, coordinates, values): each class under its rarest shared coordinate-value pairs, in blocks."""
-    pairs = sets.select("rep", F.posexplode("signature").alias("coordinate", "value"))
+    pairs = sets.select("rep", F.posexplode(F.col("signatures")[measure]).alias("coordinate", "value"))
     shared = pairs.groupBy("coordinate", "value").agg(F.count("*").alias("n")).where("n > 1")
     mine = pairs.join(shared, ["coordinate", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "coordinate", "value"))).alias("held"))
-    mine = mine.where(F.size("held") >= MATCHES)
+    mine = mine.where(F.size("held") >= matches)
     part = lambda name: F.transform("held", lambda x: x[name])
-    listed = mine.select("rep", part("coordinate").alias("coordinates"), part("value").alias("values"), F.explode(F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))).alias("post"))
+    listed = mine.select("rep", part("coordinate").alias("coordinates"), part("value").alias("values"), F.explode(F.slice("held", F.lit(1), F.size("held") - (matches - 1))).alias("post"))
     return blocked(listed, F.col("post.n"), BLOCK, F.col("post.coordinate"), F.col("post.value")).drop("post")
 
 
@@ -156,8 +174,8 @@ def forest(n: int, a, b):
     return label
 
 
-def matching(matrix, sides):
-    """Index pairs of rows that agree on MATCHES columns; columns are counted until a pair cannot reach that."""
+def matching(matrix, sides, matches: int):
+    """Index pairs of rows that agree on ``matches`` columns; columns are counted until a pair cannot reach that."""
     import numpy as np
 
     n, width = matrix.shape
@@ -165,7 +183,7 @@ def matching(matrix, sides):
     half = width // 2
     for k in range(half):
         counts += matrix[:, k, None] == matrix[None, :, k]
-    alive = np.triu(counts >= MATCHES - (width - half), 1)
+    alive = np.triu(counts >= matches - (width - half), 1)
     if sides.any():
         alive &= sides[:, None] != sides[None, :]
     a, b = np.nonzero(alive)
@@ -173,9 +191,9 @@ def matching(matrix, sides):
     for k in range(half, width):
         count += matrix[a, k] == matrix[b, k]
         if k % 4 == 3:
-            keep = count >= MATCHES - (width - 1 - k)
+            keep = count >= matches - (width - 1 - k)
             a, b, count = a[keep], b[keep], count[keep]
-    keep = count >= MATCHES
+    keep = count >= matches
     return a[keep], b[keep]
 
 
@@ -188,7 +206,7 @@ def _edges(reps, a, b):
     return pa.RecordBatch.from_pydict({"a": reps[root[moved]], "b": reps[moved]}) if len(moved) else None
 
 
-def candidate_edges(posted: DataFrame) -> DataFrame:
+def candidate_edges(posted: DataFrame, matches: int) -> DataFrame:
     """(a, b): spanning forests of the matching pairs of each list."""
 
     def run(batches):
@@ -203,7 +221,7 @@ def candidate_edges(posted: DataFrame) -> DataFrame:
             sizes = np.diff(column.offsets.to_numpy())
             matrix = np.repeat(-1 - np.arange(len(reps), dtype=np.int64)[:, None] - 2**40, COORDINATES, axis=1)  # agrees with no other row
             matrix[np.repeat(np.arange(len(reps)), sizes), column.flatten().to_numpy()] = value.flatten().to_numpy()
-            found = _edges(reps, *matching(matrix, sides))
+            found = _edges(reps, *matching(matrix, sides, matches))
             if found is not None:
                 yield found
 
@@ -237,8 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def linked_pairs(sets: list, sides):
-    """Index pairs with PERCENT * union <= 100 * intersection; shared shingles are counted for all pairs at once."""
+def linked_pairs(sets: list, sides, percent: int):
+    """Index pairs with percent * union <= 100 * intersection; shared shingles are counted for all pairs at once."""
     import numpy as np
 
     n = len(sets)
@@ -256,26 +274,29 @@ def linked_pairs(sets: list, sides):
         hit = np.zeros((n, min(4096, last - low)), np.float32)
         hit[row[a:b], column[a:b] - low] = 1
         both += hit @ hit.T
-    linked = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     if sides.any():
         linked &= sides[:, None] != sides[None, :]
     return np.nonzero(np.triu(linked, 1))
 
 
-def confirmed_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): spanning forests of the exact links within candidate groups (node, component)."""
+def confirmed_edges(docs: DataFrame, groups: DataFrame, measures: tuple = CONTRACT) -> DataFrame:
+    """(a, b): spanning forests of the exact links, by any measure, within candidate groups (node, component)."""
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = groups.join(sizes, "component").select(F.col("node").alias("rep"), "component", "n")
     texts = docs.select(docs["doc_id"].alias("rep"), common.text_of(docs).alias("text")).join(members, "rep")
 
     def run(batches):
+        import numpy as np
+
         shingler = common.per_process("shingles", Shingler)
         for rows in _tables(batches):
             if rows.num_rows < 2:
                 continue
             reps, sides = rows.column("rep").to_numpy(), rows.column("side").to_numpy()
-            sets = [shingler.set_of(t.as_py()) for t in rows.column("text")]
-            found = _edges(reps, *linked_pairs(sets, sides))
+            hashes = [shingler.hashes(t.as_py()) for t in rows.column("text")]
+            links = [linked_pairs([shingler.set_of(h, words) for h in hashes], sides, percent) for words, percent, _ in measures]
+            found = _edges(reps, *map(np.concatenate, zip(*links)))
             if found is not None:
                 yield found
 
@@ -283,12 +304,13 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    rows = common.settled(sketches(docs))
+def near_duplicates(docs: DataFrame, measures: tuple = CONTRACT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs; n_shingles is the first measure's."""
+    rows = common.settled(sketches(docs, measures))
     sets = common.settled(classes(rows))
-    groups = components(candidate_edges(postings(sets)))
-    links = components(confirmed_edges(docs, groups))
+    met = [candidate_edges(postings(sets, matches, k), matches) for k, (_, _, matches) in enumerate(measures)]
+    groups = components(reduce(DataFrame.unionByName, met))
+    links = components(confirmed_edges(docs, groups, measures))
     named = sets.select("digest", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
     found = rows.join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))

@@ -1,10 +1,11 @@
 """The pipeline against a plain version of each stage, stage by stage."""
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
 from docloom.llm import bpe, mixing, toxicity
-from test_ops import brute_components
+from test_ops import brute_components, shingle_set
 
 DIR = "/root/testdata/sf0.001"
 
@@ -50,3 +51,29 @@ def test_awkward_rows_pass_through(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), stage(spark, docs, str(tmp_path)).schema)
         assert docs.count() <= 2 * len(content)
+
+
+def test_near_copies_of_either_measure_go(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(200)]
+        block = [f"g{g}b{i}" for i in range(rng.randrange(20, 70))]
+        edited = [w if i % 37 or i // 37 >= g % 8 else f"g{g}e{i}" for i, w in enumerate(base)]
+        rows += [(len(rows) + i, " ".join(words)) for i, words in enumerate((base, base + block, edited))]
+    rows += [(1000, " ".join(f"x{i}" for i in range(200))), (1001, " ".join(f"x{i}" for i in range(240)))]  # five words: 0.83, three: 0.83
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    sets = [(i, shingle_set(t, 3), shingle_set(t, 5)) for i, t in rows]
+    similar = lambda a, b, percent: 100 * len(a & b) >= percent * len(a | b)
+    for n, (i, a3, a5) in enumerate(sets):
+        for j, b3, b5 in sets[:n]:
+            if similar(a3, b3, 85) or similar(a5, b5, 80):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, DIR).collect())
+    assert kept == sorted(i for i in parent if find(i) == i) and 1000 in kept and 1001 not in kept
