@@ -211,6 +211,8 @@ class Engine:
                 fields = [x.new if f.name == x.old else f for f in fields]
             else:
                 fields = [f for f in fields if f.name != x.old]
+        touched = {x.new.name for x in changes if not isinstance(x, S.RemoveField)}
+        constraints.check_new(None, df, [f for f in fields if f.name in touched])
         self.database.commit(c.name, df, fields)
         return CommandResponse(message=f"Bundle '{c.name}' updated successfully.")
 
@@ -344,6 +346,7 @@ class Engine:
         now = F.current_timestamp().cast("timestamp_ntz")
         given = rows[id_col] if id_col in rows.columns else F.lit(None).cast("string")
         made = {n: now if n not in rows.columns else F.coalesce(rows[n], now) for n in ("CreatedAt", "UpdatedAt")}
+        rows = constraints.typed(rows, fields)
         rows = constraints.fill_required(rows.withColumns({id_col: F.coalesce(given, F.expr("uuid()")), **made}), fields)
         constraints.check_new(df, rows, fields)
         self.database.append(bundle, rows)
@@ -354,6 +357,8 @@ class Engine:
         where = self._filter(c.where, df, id_col)
         changed = dml.update(df, c.values, where, "UpdatedAt") if self.semantics == "documented" else dml.update_raw(df, c.raw, where)
         fields = None
+        if c.bundle not in self.registered:
+            constraints.check_new(None, changed, [f for f in self.database.fields(c.bundle) if f.name in (c.raw if self.semantics == "compat" else c.values)])
         if self.semantics == "compat" and c.bundle not in self.registered:  # fields that now hold written text
             fields = [replace(f, type="STRING", default=None if f.default is None else str(f.default)) if f.name in c.raw else f for f in self.database.fields(c.bundle)]
         return self._rewritten(c.bundle, changed, f"Documents updated in bundle '{c.bundle}'.", fields)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.types import FieldDef
 from docloom.plans.syntax import CommandError
@@ -44,6 +45,19 @@ def mistyped(df: DataFrame, fields: list[FieldDef]) -> DataFrame:
     return df.where(bad)
 
 
+def typed(df: DataFrame, fields: list[FieldDef]) -> DataFrame:
+    """df with text columns of other declared fields cast; raise if a value cannot be read as its type, or a column is of another type."""
+    kinds = {f.name: f for f in fields if f.name in df.columns and df.schema[f.name].dataType != f.spark_type}
+    text = [f for n, f in kinds.items() if df.schema[n].dataType.typeName() in ("string", "void")]
+    for n, f in kinds.items():
+        have = df.schema[n].dataType
+        if f not in text and not (isinstance(have, T.IntegralType) and isinstance(f.spark_type, (T.LongType, T.DoubleType)) or isinstance(have, T.FloatType) and isinstance(f.spark_type, T.DoubleType)):
+            raise CommandError(f"field '{n}' is {f.spark_type.simpleString()}, not {have.simpleString()}")
+    if text and not mistyped(df, text).isEmpty():
+        raise CommandError("a value is not of its field's type: " + ", ".join(f.name for f in text))
+    return df.withColumns({n: F.col(f"`{n}`").cast(f.spark_type) for n, f in kinds.items()}) if kinds else df
+
+
 def check_new(existing: DataFrame | None, new: DataFrame, fields: list[FieldDef]) -> None:
     """Raise if new breaks a rule, by itself or against existing."""
     known = [f for f in fields if f.name in new.columns]

@@ -154,3 +154,13 @@ def test_stream_feeds_a_bundle(spark, shop, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert values(shop.sql('SELECT Name FROM "Products" WHERE Age > 4'), "Name") == [("s1",), ("s2",)]
+
+
+def test_rules_hold_on_updates_and_bulk_writes(spark, shop):
+    for bad in ('UPDATE DOCUMENTS IN "Products" (Name = "z") WHERE Age == 2', 'UPDATE BUNDLE "Products" ADD FIELD {"Code", "STRING", TRUE, TRUE, "x"}', 'UPDATE BUNDLE "Products" CHANGE FIELD "Age" TO {"Age", "INT", TRUE, TRUE}'):
+        with pytest.raises(CommandError):
+            shop.execute(bad)
+    with pytest.raises(CommandError):
+        shop.add_documents("Products", spark.createDataFrame([("d", "old")], "Name string, Age string"))
+    shop.add_documents("Products", spark.createDataFrame([("d", "4")], "Name string, Age string"))
+    assert values(shop.sql('SELECT Name, Age FROM "Products"'), "Name", "Age") == [("a", 1), ("b", 2), ("c", 2), ("d", 4)]
