@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,25 +22,79 @@ def text_of(docs: DataFrame):
     return F.coalesce(docs["text"], F.lit(""))
 
 
+#: Keys with more rows than this, and than a 1 / MOST_HOT share of all rows, are joined apart from the others.
+HOT_ROWS, MOST_HOT = 10_000, 50_000
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's folder below ``spark.checkpoint.dir``; one is chosen here only
-    where none is set, as in tests on a single machine."""
+    """The session's folder below ``spark.checkpoint.dir``, which all executors see.
+
+    Only in local mode, where driver and executors are one process, one is chosen
+    where none is set.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-"))
     return sc.getCheckpointDir()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder.  What is left of it goes when the application ends."""
+    home = f"{shared_folder(spark)}/work-{spark.sparkContext.applicationId}"
+    files, at = _hadoop(spark, home)
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder on any Hadoop file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    files, at = _hadoop(spark, path)
+    files.delete(at, True)
+
+
+def written(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
+    """df as Parquet in the shared folder, read again, and its path: lineage is cut and later reads are pruned."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, cutting its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """``written`` without the path, for what lives until the application ends."""
+    return written(df, name)[0]
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows left-joined with groups (one row a key; size: how many rows have it) on key.
+
+    A key of more than HOT_ROWS rows and of more than a 1 / MOST_HOT share of ``total``
+    is joined by broadcast: there are at most MOST_HOT such keys.  Rows of these keys,
+    and rows whose key is null, go through the shuffle of the others under keys of
+    their own, so no task gets more than one cold key's rows beside its share.
+    """
+    names = [c for c in groups.columns if c != key]
+    least = max(HOT_ROWS, total // MOST_HOT)
+    hot = groups.where(F.col(size) > least).select(F.col(key).alias("_hot"), F.struct(*names).alias("_of_hot"))
+    cold = groups.where(F.col(size) <= least).select(F.col(key).alias("_cold"), F.struct(*names).alias("_of_cold"))
+    met = rows.join(F.broadcast(hot), rows[key] == F.col("_hot"), "left")
+    apart = F.col("_hot").isNotNull() | rows[key].isNull()
+    alone = F.when(apart, F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long"))
+    met = met.withColumn("_alone", alone).withColumn("_key", F.when(~apart, rows[key]))
+    # 0 stands for rows that look for their cold key; the row numbered 0 has no key and meets none.
+    cold = cold.withColumn("_zero", F.lit(0).cast("long"))
+    joined = met.join(cold, (met["_key"] == cold["_cold"]) & (met["_alone"] == cold["_zero"]), "left")
+    found = joined.withColumn("_of", F.coalesce("_of_hot", "_of_cold"))
+    return found.select(*[F.col(c) for c in rows.columns], *[F.col("_of")[c].alias(c) for c in names])
 
 
 def fold_is_held_out(doc_id):

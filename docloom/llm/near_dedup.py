@@ -8,18 +8,27 @@
     no partner.  Of c left it is posted under its c - matches + 1 rarest: two classes
     that agree on matches pairs meet in one of those lists (prefix filter).
 3.  Each list counts collisions coordinate by coordinate and skips pairs that can no
-    longer reach matches.  Lists longer than ``BLOCK`` are cut into blocks that meet
-    pairwise in tasks of their own.  A task returns a spanning forest of its matching
-    pairs, never the pairs, so its output is bounded by its input.
-4.  The forests' components are candidate groups.  Their members' texts are read once,
-    dealt in blocks, and every pair's exact Jaccard similarity is taken from counts of
-    shared shingles; a task again returns a spanning forest of the links.
+    longer reach matches.  A task returns a spanning forest of its matching pairs, never
+    the pairs, so its output is bounded by its input.
+4.  The forests' components are candidate groups.  Their members' texts are read, and
+    every pair's exact Jaccard similarity is taken from counts of shared shingles; a
+    task again returns a spanning forest of the links.
 5.  Components of these forests are the near-duplicate groups.
 
+Lists and candidate groups are compared in two rounds.  First a group is cut into blocks
+of bounded rows and shingles; each block also gets the group's hubs, a few members
+chosen by hash, so the variants of one text are tied together though each travels once.
+Then only what this left apart goes on: of a group whose members are not all tied, those
+outside its largest part, the outsiders, meet every block.  All pairs have been compared
+then, but for pairs that are tied already.  A group of g variants that hubs tie costs
+g rows; one with o outsiders costs g * o / block more, which is quadratic only where
+candidates are many and links are few.
+
 Two sets of similarity 0.85 agree on fewer than 16 of 32 coordinates with a chance of
-6e-7, of similarity 0.8 on fewer than 14 with 1.2e-6; links are exact in any case.  Null texts and texts without words have an empty
-set and are linked with nothing.  Rows without doc_id stay apart, with a null
-component.  Rows that share a doc_id share a component.  Texts are never cut.
+6e-7, of similarity 0.8 on fewer than 14 with 1.2e-6; links are exact in any case.  Null
+texts and texts without words have an empty set and are linked with nothing.  Rows
+without doc_id stay apart, with a null component.  Rows that share a doc_id share a
+component.  Texts are never cut.
 """
 
 from __future__ import annotations
@@ -36,7 +45,10 @@ COORDINATES = 32
 CONTRACT = ((3, 85, 16),)
 #: The pipeline links by either measure.
 EITHER = (*CONTRACT, (5, 80, 14))
-BLOCK, TEXT_BLOCK = 512, 256
+#: Rows of a block of a list and of a candidate group, and shingles of a block; expected hubs of a group.
+BLOCK, TEXT_BLOCK, SHINGLE_BLOCK, HUBS = 256, 256, 2_000_000, 8
+#: So many candidates' ids, about 40 bytes each, are broadcast to pick their texts; beyond, texts are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 class Shingler:
@@ -108,34 +120,59 @@ def sketches(docs: DataFrame, measures: tuple = CONTRACT) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(digest, rep, signatures): one row per set, named by its smallest doc_id."""
+    """(digest, rep, n, weight, signatures): one row per set, named by its smallest doc_id; its rows and shingles."""
     known = rows.where("digest is not null and doc_id is not null")
-    return known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signatures").alias("signatures"))
+    first = [F.first(c).alias(n) for c, n in (("n_shingles", "weight"), ("signatures", "signatures"))]
+    return known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *first)
 
 
-def postings(sets: DataFrame, matches: int, measure: int = 0) -> DataFrame:
-    """(key, rep, side, coordinates, values): each class under its rarest shared coordinate-value pairs, in blocks."""
+def held_pairs(sets: DataFrame, matches: int, measure: int = 0) -> DataFrame:
+    """(rep, held): each class's shared coordinate-value pairs as (n, coordinate, value), rarest first."""
     pairs = sets.select("rep", F.posexplode(F.col("signatures")[measure]).alias("coordinate", "value"))
     shared = pairs.groupBy("coordinate", "value").agg(F.count("*").alias("n")).where("n > 1")
-    mine = pairs.join(shared, ["coordinate", "value"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "coordinate", "value"))).alias("held"))
-    mine = mine.where(F.size("held") >= matches)
-    part = lambda name: F.transform("held", lambda x: x[name])
-    listed = mine.select("rep", part("coordinate").alias("coordinates"), part("value").alias("values"), F.explode(F.slice("held", F.lit(1), F.size("held") - (matches - 1))).alias("post"))
-    return blocked(listed, F.col("post.n"), BLOCK, F.col("post.coordinate"), F.col("post.value")).drop("post")
-
-
-def blocked(rows: DataFrame, size, block: int, *of) -> DataFrame:
-    """rows with key and side: the list ``of`` of about ``size`` rows, cut into blocks that meet pairwise.
-
-    side is 0 where all rows of the task are compared, else 1 or 2: only rows of
-    different sides are.
-    """
-    blocks = F.ceil(size / F.lit(block))
-    rows = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    first, second = F.least("_own", "_other"), F.greatest("_own", "_other")
-    side = F.when(F.col("_own") == F.col("_other"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
-    return rows.withColumns({"key": F.xxhash64(*of, first, second), "side": side.cast("int")}).drop("_blocks", "_own", "_other")
+    met = pairs.join(shared, ["coordinate", "value"])
+    held = met.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "coordinate", "value"))).alias("held"))
+    return held.where(F.size("held") >= matches)
+
+
+def listed(held: DataFrame, matches: int) -> DataFrame:
+    """(list, n, blocks, rep, coordinates, values): each class under its rarest pairs; n: the list's classes."""
+    part = lambda name: F.transform("held", lambda x: x[name]).alias(name + "s")
+    posts = F.explode(F.slice("held", F.lit(1), F.size("held") - (matches - 1))).alias("post")
+    rows = held.select("rep", part("coordinate"), part("value"), posts)
+    group = F.xxhash64("post.coordinate", "post.value").alias("list")
+    n = F.col("post.n")
+    return rows.select(group, n.alias("n"), F.ceil(n / F.lit(BLOCK)).alias("blocks"), "rep", "coordinates", "values")
+
+
+def first_deal(rows: DataFrame) -> DataFrame:
+    """rows (list, n, blocks, rep, ..) with key and side 0: each row in its block, and hubs in all blocks of their list."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(5)), F.ceil(F.col("n") / F.lit(HUBS))) == 0)
+    at = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
+    dealt = rows.withColumn("_at", F.explode(at))
+    return dealt.withColumns({"key": F.xxhash64("list", "_at"), "side": F.lit(0)}).drop("_at")
+
+
+def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(list, rep, outside, out_blocks) of the lists of members (list, rep) whose classes are not all tied by labels."""
+    known = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    known = common.settled(known.select("list", "rep", F.coalesce("component", "rep").alias("part")))
+    parts = known.groupBy("list", "part").agg(F.count("*").alias("n"))
+    main = parts.groupBy("list").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select("list", F.col("main.part").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / F.lit(BLOCK)).alias("out_blocks"))
+    return known.join(main, "list").select("list", "rep", (F.col("part") != F.col("main")).alias("outside"), "out_blocks")
+
+
+def second_deal(rows: DataFrame) -> DataFrame:
+    """rows (list, blocks, rep, outside, out_blocks, ..) with key and side: all members (1) in their block meet every block of outsiders (2)."""
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own, out = F.pmod(F.xxhash64("rep"), F.col("blocks")), F.pmod(F.xxhash64("rep", F.lit(9)), F.col("out_blocks"))
+    entry = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), F.lit(side).alias("side"))
+    member = F.transform(upto(F.col("out_blocks")), lambda c: entry(own, c, 1))
+    outsider = F.transform(upto(F.col("blocks")), lambda b: entry(b, out, 2))
+    dealt = rows.withColumn("_at", F.explode(F.when(F.col("outside"), F.concat(member, outsider)).otherwise(member)))
+    return dealt.withColumns({"key": F.xxhash64("list", "_at.a", "_at.b"), "side": F.col("_at.side")}).drop("_at")
 
 
 def _tables(batches):
@@ -207,7 +244,7 @@ def _edges(reps, a, b):
 
 
 def candidate_edges(posted: DataFrame, matches: int) -> DataFrame:
-    """(a, b): spanning forests of the matching pairs of each list."""
+    """(a, b): spanning forests of the matching pairs of each key's rows."""
 
     def run(batches):
         import numpy as np
@@ -235,23 +272,29 @@ def components(edges: DataFrame) -> DataFrame:
     Forests of overlapping lists name many roots for one node, so first each node keeps its
     smallest root, and its other roots are tied to that one, which leaves about one edge a
     node.  Then labels go to neighbours and to the label's own label, until none changes;
-    each round is written to the shared folder.
+    each round is written to the shared folder and the one before removed.  Rows here are
+    two or three integers; those of a node that very many edges share are split where the
+    session's adaptive execution finds a skewed join.
     """
-    known = common.settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    spark = edges.sparkSession
+    known, first_path = common.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     first = known.groupBy("b").agg(F.min("a").alias("m"))
     tied = known.join(first, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     fewer = first.select(F.col("m").alias("a"), "b").unionByName(tied).distinct()
-    both = common.settled(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both, path = common.written(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    common.remove(spark, first_path)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component"))
-    labels = common.settled(labels)
+    labels, last = common.written(labels, "labels")
     while True:
         theirs = labels.select(F.col("node").alias("b"), F.col("component").alias("low"))
         near = both.join(theirs, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
         nearer = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        moved = common.settled(nearer.join(up, "component").select("node", "old", F.least("component", "above").alias("component")))
-        labels = moved.select("node", "component")
+        moved, at = common.written(nearer.join(up, "component").select("node", "old", F.least("component", "above").alias("component")), "labels")
+        common.remove(spark, last)
+        labels, last = moved.select("node", "component"), at
         if moved.where("old <> component").isEmpty():
+            common.remove(spark, path)
             return labels
 
 
@@ -280,11 +323,46 @@ def linked_pairs(sets: list, sides, percent: int):
     return np.nonzero(np.triu(linked, 1))
 
 
-def confirmed_edges(docs: DataFrame, groups: DataFrame, measures: tuple = CONTRACT) -> DataFrame:
-    """(a, b): spanning forests of the exact links, by any measure, within candidate groups (node, component)."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "component").select(F.col("node").alias("rep"), "component", "n")
-    texts = docs.select(docs["doc_id"].alias("rep"), common.text_of(docs).alias("text")).join(members, "rep")
+def candidate_groups(sets: DataFrame, measures: tuple) -> DataFrame:
+    """(node, component): the components of the classes that agree on enough coordinates, by any measure."""
+    spark = sets.sparkSession
+    held = [common.written(held_pairs(sets, matches, k), "held") for k, (_, _, matches) in enumerate(measures)]
+    posted = [listed(df, matches) for (df, _), (_, _, matches) in zip(held, measures)]
+    edges = [candidate_edges(first_deal(rows), matches) for rows, (*_, matches) in zip(posted, measures)]
+    labels = components(reduce(DataFrame.unionByName, edges))
+    more = []
+    for rows, (*_, matches) in zip(posted, measures):
+        long = rows.where("blocks > 1")
+        left = common.settled(apart(long.select("list", "rep"), labels))
+        if not left.isEmpty():
+            more.append(candidate_edges(second_deal(long.join(left, ["list", "rep"])), matches))
+    if more:
+        known = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        labels = components(reduce(DataFrame.unionByName, [known, *more]))
+    for _, path in held:
+        common.remove(spark, path)
+    return labels
+
+
+def members_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(list, n, blocks, rep): the candidate groups' classes; blocks are bounded in rows and in shingles."""
+    rows = common.settled(groups.join(sets.select(F.col("rep").alias("node"), "weight"), "node"))
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("shingles"))
+    sized = common.join_groups(rows, common.settled(sizes), "component", "n", rows.count())
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(TEXT_BLOCK)), F.ceil(F.col("shingles") / F.lit(SHINGLE_BLOCK)))
+    blocks = F.least(F.greatest(blocks, F.lit(1)), F.col("n"))
+    return sized.select(F.col("component").alias("list"), "n", blocks.alias("blocks"), F.col("node").alias("rep"))
+
+
+def with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members (rep, ..) with their texts; the texts of other rows do not leave the tasks that read them, up to BROADCAST_IDS members."""
+    few = members.count() <= BROADCAST_IDS
+    texts = docs.select(docs["doc_id"].cast("long").alias("rep"), common.text_of(docs).alias("text"))
+    return texts.join(F.broadcast(members) if few else members, "rep")
+
+
+def linked_edges(dealt: DataFrame, measures: tuple) -> DataFrame:
+    """(a, b): spanning forests of the exact links, by any measure, of each key's rows (key, rep, side, text)."""
 
     def run(batches):
         import numpy as np
@@ -300,20 +378,31 @@ def confirmed_edges(docs: DataFrame, groups: DataFrame, measures: tuple = CONTRA
             if found is not None:
                 yield found
 
-    dealt = blocked(texts, F.col("n"), TEXT_BLOCK, F.col("component")).select("key", "rep", "side", "text").repartition("key").sortWithinPartitions("key", "rep")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.select("key", "rep", "side", "text").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
+
+
+def confirmed(docs: DataFrame, groups: DataFrame, sets: DataFrame, measures: tuple = CONTRACT) -> DataFrame:
+    """(node, component): the components of the exact links within candidate groups (node, component)."""
+    members = common.settled(members_of(groups, sets))
+    labels = components(linked_edges(first_deal(with_texts(docs, members)), measures))
+    long = members.where("blocks > 1")
+    left = common.settled(long.join(apart(long.select("list", "rep"), labels), ["list", "rep"]))
+    if left.isEmpty():
+        return labels
+    more = linked_edges(second_deal(with_texts(docs, left)), measures)
+    return components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, measures: tuple = CONTRACT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs; n_shingles is the first measure's."""
-    rows = common.settled(sketches(docs, measures))
-    sets = common.settled(classes(rows))
-    met = [candidate_edges(postings(sets, matches, k), matches) for k, (_, _, matches) in enumerate(measures)]
-    groups = components(reduce(DataFrame.unionByName, met))
-    links = components(confirmed_edges(docs, groups, measures))
-    named = sets.select("digest", "rep").join(links.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_component"))
+    rows = common.settled(sketches(docs, measures), "sketches")
+    sets = common.settled(classes(rows), "classes")
+    links = confirmed(docs, candidate_groups(sets, measures), sets, measures)
+    named = sets.select("digest", "rep", "n").join(links.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null")
+    named = common.settled(named.select("digest", "n", F.coalesce("component", "rep").alias("class_component")))
+    found = common.join_groups(rows.select("doc_id", "n_shingles", "digest"), named, "digest", "n", rows.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    found = rows.join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    found = found.select("doc_id", "n_shingles", component.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
