@@ -22,6 +22,16 @@ from docloom.llm.bpe import CACHE_ENTRIES, PairMerger, byte_letters
 
 TOKEN_LIMIT = 2048
 
+# Capital letters of Unicode 16, which Python's own tables may lack, and their small letters.
+NEW_CAPITALS = {
+    0x1C89: 0x1C8A,
+    0xA7CB: 0x0264,
+    0xA7CC: 0xA7CD,
+    0xA7DA: 0xA7DB,
+    0xA7DC: 0x019B,
+    **{0x10D50 + i: 0x10D70 + i for i in range(22)},  # Garay
+}
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -50,6 +60,7 @@ class WordCounter:
         self.pieces = regex.compile(self.PATTERN).findall
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.odd_space = re.compile("[\x1c-\x1f]").search  # white space to str.split only
+        self.new_capital = re.compile("[" + "".join(map(chr, NEW_CAPITALS)) + "]").search
         self.cache = common.Remembered(self._chunk, 2 * CACHE_ENTRIES)
         self.single = self.proven()
 
@@ -84,6 +95,8 @@ class WordCounter:
     def _plain(self, text: str) -> int:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letter by letter: no final sigma
+            if self.new_capital(text):
+                text = text.translate(NEW_CAPITALS)
         text = text.lower()
         chunks = self.spaces.split(text) if self.odd_space(text) else text.split()
         return sum(map(self.cache.__getitem__, chunks))
