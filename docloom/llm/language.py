@@ -105,7 +105,8 @@ def training_rows(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Dat
 
 def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> dict[str, list[int]]:
     """Each language's n-gram codes in rank order.  Rows are counted where they are read;
-    counts are summed by language and code; PROFILE codes a language come to the driver."""
+    counts are summed by language and code; PROFILE codes a language come to the driver,
+    300 for each value of lang that there is."""
 
     def count(batches):
         from collections import defaultdict
@@ -141,11 +142,11 @@ def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> dict[str, lis
 
     kind = "lang string, code long, n long"
     sums = training_rows(docs, per_language).mapInArrow(count, kind).groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # Each task keeps its PROFILE best of every language, so what is collected is bounded by tasks x languages x PROFILE.
+    # Each task keeps its PROFILE best of every language; a second exchange by language leaves PROFILE of each.
     best: dict[str, list] = {}
-    for r in sums.mapInArrow(top, kind).collect():
+    for r in sums.mapInArrow(top, kind).repartition("lang").mapInArrow(top, kind).collect():
         best.setdefault(r["lang"], []).append((-r["n"], r["code"]))
-    return {lang: [code for _, code in sorted(grams)[:PROFILE]] for lang, grams in best.items()}
+    return {lang: [code for _, code in sorted(grams)] for lang, grams in best.items()}
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
