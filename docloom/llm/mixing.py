@@ -11,8 +11,8 @@ Sources by code point, null last, weigh 3, 1, 2, repeating.  Targets fill up by
 weight until twice a source's size, the excess reshared among the others.  A target
 of 1.3 sizes takes every document once and 0.3 of the words again.
 
-A null text has size 0, takes 0 words and is chosen like any other; a null source
-is a source.  Repeated rows are chosen together.  An empty table gives no rows.
+A null text has size 0, takes 0 words and is chosen like any other, at most CAP times;
+a null source is a source; a source without words takes none of its rows.  Repeated rows are chosen together.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,7 +75,9 @@ def thresholds(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
         first = F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "upto"))
         found = common.settled(crossed.groupBy("source", "budget").agg(first.alias("x")).select("source", "budget", F.col("x.bin").alias("prefix"), F.col("x.before").alias("below"), F.col("x.upto").alias("upto")))
     nearer = (F.col("upto") - F.col("budget")) < (F.col("budget") - F.col("below"))
-    cut = found.select(F.col("source").alias("of_source"), (F.col("prefix") + nearer.cast("long")).alias("threshold"))
+    # A source with nothing left to take after whole takes has no row above them, empty texts included.
+    threshold = F.when(F.col("budget") > 0, F.col("prefix") + nearer.cast("long")).otherwise(F.lit(0).cast("long"))
+    cut = found.select(F.col("source").alias("of_source"), threshold.alias("threshold"))
     # A source without words crosses nothing and takes nothing.
     return asked.join(cut, F.col("source").eqNullSafe(F.col("of_source")), "left").select("source", "source_size", "target", "passes", F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
@@ -135,7 +137,7 @@ sized as (
   select source, cell, sum(sum(size)) over (partition by source order by cell) as upto, sum(size) as words from sized group by source, cell
 ), cuts as (
   select c.source, min_by(case when c.upto - b.budget < b.budget - (c.upto - c.words) then c.cell + 1 else c.cell end, c.cell) as threshold
-  from cells c join budgets b on c.source is not distinct from b.source where c.upto > b.budget group by c.source
+  from cells c join budgets b on c.source is not distinct from b.source where c.upto > b.budget and b.budget > 0 group by c.source
 ), mixed as (
   select s.doc_id, s.size, b.source_size, b.target, (b.passes + (s.cell < coalesce(c.threshold, 0))::bigint) as takes
   from sized s join budgets b on s.source is not distinct from b.source left join cuts c on s.source is not distinct from c.source
