@@ -19,9 +19,9 @@ from docloom.llm import common
 K = 128
 WORDS = 5
 HASH_BITS = 48
-#: Buckets of neighbouring ids for each shuffle partition; the number bounds what the driver sees of them.
-BUCKETS_PER_PARTITION = 4
-MOST_BUCKETS = 4096
+#: Buckets of neighbouring ids follow the rows, a few for each shuffle partition at least.  The
+#: driver holds two integers a bucket; past MOST_BUCKETS (1.6 thousand million rows) buckets grow.
+ROWS_PER_BUCKET, BUCKETS_PER_PARTITION, MOST_BUCKETS = 25_000, 4, 65_536
 
 
 def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -92,12 +92,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "sketch", encoded("sketch").alias("fingerprint"))
 
 
+def listed(values: list, kind: str) -> Column:
+    """Many numbers as one array literal, which Spark folds from their text."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def id_bucket(doc_id: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are not above the id, by binary search; null goes to bucket 0."""
     size = 1
     while size <= len(bounds):
         size *= 2
-    padded = F.lit([*bounds, *[(1 << 63) - 1] * (size - len(bounds))])
+    padded = listed([*bounds, *[(1 << 63) - 1] * (size - len(bounds))], "long")
     steps = [1 << i for i in reversed(range(size.bit_length() - 1))] or [0]
     find = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(F.element_at(padded, F.greatest(at + step, F.lit(1))) <= doc_id, at + step).otherwise(at))
     return find if bounds else F.lit(0)
@@ -112,8 +117,9 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", common.text_of(docs).alias("text"))
-    n = min(MOST_BUCKETS, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    n = min(MOST_BUCKETS, max(docs.count() // ROWS_PER_BUCKET, BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shares = listed([i / n for i in range(1, n)], "double")
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * n)).first()[0] or []
     placed = docs.withColumn("bucket", id_bucket(docs["doc_id"], sorted(set(cuts))))
     heads = sorted((r["bucket"], r["head"]) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # a row per bucket
     after = [(heads[i][0], heads[i - 1][1]) for i in range(len(heads))]  # bucket i goes on with the head of i - 1, the lowest with the highest
