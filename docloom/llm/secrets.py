@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from docloom.llm import common
 
 MOST_STRINGS = 64
+#: Matches of one text are placed in blocks of so many, so that the work is linear in their number.
+MATCH_BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -140,7 +142,11 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
 
 
 def spans(text: str, rule: Rule, number: int) -> Column:
-    """array<struct<start, number, end, kind>> of the rule's leftmost non-overlapping matches."""
+    """array<struct<start, number, end, kind>> of the rule's leftmost non-overlapping matches.
+
+    Lengths of the matches and of the gaps before them are folded into positions block
+    by block; a second fold over the blocks' lengths moves each block to its place.
+    """
     pattern = F.lit(rule.pattern)
     between = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
     whole = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x))
@@ -148,7 +154,6 @@ def spans(text: str, rule: Rule, number: int) -> Column:
     steps = F.arrays_zip(between.alias("gap"), whole.alias("long"), tested.alias("counts"))
     kind = "struct<start:int,number:int,end:int,kind:string>"
     none = F.array().cast(f"array<{kind}>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
     def step(state, x):
         begin = state["at"] + x["gap"]
@@ -156,7 +161,22 @@ def spans(text: str, rule: Rule, number: int) -> Column:
         span = F.struct(begin.alias("start"), F.lit(number).alias("number"), end.alias("end"), F.lit(rule.kind).alias("kind")).cast(kind)
         return F.struct(end.alias("at"), F.when(x["counts"], F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    return F.when(F.col(text).rlike(rule.pattern), F.aggregate(steps, start, step, lambda s: s["found"])).otherwise(none)
+    def placed(steps):
+        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("found")), step)
+
+    def moved(block, by):
+        return F.transform(block["found"], lambda x: F.struct((x["start"] + by).alias("start"), x["number"].alias("number"), (x["end"] + by).alias("end"), x["kind"].alias("kind")))
+
+    def in_blocks(steps):
+        starts = F.sequence(F.lit(1), F.size(steps), F.lit(MATCH_BLOCK))
+        blocks = F.transform(starts, lambda i: placed(F.slice(steps, i, F.lit(MATCH_BLOCK))))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+        bases = lambda blocks: F.aggregate(blocks, zero, lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")), lambda s: s["found"])
+        # A one-element array binds the blocks to a name, so they are folded once.
+        return F.flatten(F.flatten(F.transform(F.array(blocks), lambda held: F.zip_with(held, bases(held), moved))))
+
+    made = F.flatten(F.transform(F.array(steps), lambda held: F.when(F.size(held) <= MATCH_BLOCK, placed(held)["found"]).otherwise(in_blocks(held))))
+    return F.when(F.col(text).rlike(rule.pattern), made).otherwise(none)
 
 
 def listed(found: Column) -> Column:
