@@ -3,20 +3,22 @@
 Both sides are reduced to one group per SHA-256 digest with map-side combining,
 so a text that a third of all rows share is one row from there on.  The
 snapshot's digests are dealt to shards of bounded size and each shard keeps a
-static 3-wise binary fuse filter.  Incoming group digests are screened by their
+static 3-wise binary fuse filter.  ``save_snapshot`` writes buckets and filters once;
+``Snapshot`` reads them for every batch that comes (``against``).  Incoming group digests are screened by their
 shard's filter: negatives are new for certain, positives join the snapshot's exact
 buckets, and the texts behind both sides are compared byte for byte.  Duplicates
 within the incoming batch are grouped on their own, without the filter.
 
 Null texts count as empty; empty texts are equal to each other.  Of equal texts
 the row with the largest doc_id stays; repeated rows with one doc_id share its
-verdict, and a group without any doc_id keeps all its rows.  Additional columns do
-not matter.
+verdict, and a group without any doc_id keeps all its rows (``one_of_each`` leaves one
+row of either).  An empty table gives no rows.  Additional columns do not matter.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from docloom.llm import common
 
 KEYS_PER_SHARD = 100_000
-FILTER_SCHEMA = "shard int, seed long, segment_length int, segment_count int, prints binary"
+FILTER_SCHEMA = "shard int, shards int, seed long, segment_length int, segment_count int, prints binary"
+#: So many ids, about 80 bytes each with their digest, are broadcast to pick the texts to check; beyond, texts are joined by shuffle.
+BROADCAST_IDS = 300_000
 
 
 def mixed(keys, seed: int):
@@ -153,43 +157,102 @@ def build_filters(snapshot: DataFrame, shards: int) -> DataFrame:
         for shard, rows in _runs(batches):
             keys = np.unique(rows.column("key").to_numpy().view(np.uint64))
             made = BinaryFuse.build(keys)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "seed": [made.seed], "segment_length": pa.array([made.length], pa.int32()), "segment_count": pa.array([made.count], pa.int32()), "prints": [made.prints.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "shards": pa.array([shards], pa.int32()), "seed": [made.seed], "segment_length": pa.array([made.length], pa.int32()), "segment_count": pa.array([made.count], pa.int32()), "prints": [made.prints.tobytes()]})
 
     keys = _by_shard(snapshot, shards).select("shard", "key")
     return keys.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, FILTER_SCHEMA)
 
 
-def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The text_sha256 of the incoming groups that the snapshot may hold."""
+@dataclass(frozen=True)
+class Snapshot:
+    """An immutable snapshot's exact buckets (text_sha256, top_id, n) and filters, as files below path."""
+
+    buckets: DataFrame
+    filters: DataFrame
+    shards: int
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Snapshot:
+        filters = spark.read.parquet(f"{path}/filters")
+        first = filters.select("shards").first()
+        return Snapshot(spark.read.parquet(f"{path}/buckets"), filters, first["shards"] if first else 1)
+
+
+def save_snapshot(rows: DataFrame, path: str) -> Snapshot:
+    """Write the buckets and filters of rows (doc_id, text_sha256); a folder that is there is not overwritten."""
+    spark = rows.sparkSession
+    groups(rows).write.parquet(f"{path}/buckets")
+    buckets = spark.read.parquet(f"{path}/buckets")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(buckets.count() / KEYS_PER_SHARD))
+    build_filters(buckets, shards).write.parquet(f"{path}/filters")
+    return Snapshot.load(spark, path)
+
+
+def screen(incoming: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """The text_sha256 of the incoming groups that the snapshot may hold.
+
+    A shard's filter comes before the digests that ask it, which then pass in batches.
+    """
+    shards = snapshot.shards
     nothing = lambda kind: F.lit(None).cast(kind)
     asked = _by_shard(incoming, shards).select("shard", "key", "text_sha256", nothing("long").alias("seed"), nothing("int").alias("segment_length"), nothing("int").alias("segment_count"), nothing("binary").alias("prints"))
-    kept = filters.select("shard", nothing("long").alias("key"), nothing("string").alias("text_sha256"), "seed", "segment_length", "segment_count", "prints")
+    kept = snapshot.filters.select("shard", nothing("long").alias("key"), nothing("string").alias("text_sha256"), "seed", "segment_length", "segment_count", "prints")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        for _, rows in _runs(batches):
-            have = rows.filter(pc.is_valid(rows.column("seed")))
-            asked = rows.filter(pc.is_valid(rows.column("key")))
-            if not have.num_rows or not asked.num_rows:
-                continue
-            f = have.slice(0, 1).to_pylist()[0]
-            fuse = BinaryFuse(f["seed"], f["segment_length"], f["segment_count"], np.frombuffer(f["prints"], np.uint16))
-            hit = fuse.may_hold(asked.column("key").to_numpy().view(np.uint64))
-            yield from asked.filter(pa.array(hit)).select(["text_sha256"]).to_batches()
-
-    return asked.unionByName(kept).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "text_sha256 string")
+        shard, fuse = None, None
+        for batch in batches:
+            at, keys, seeds = batch.column(0).to_numpy(), batch.column(1), batch.column(3)
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b and at[a] != shard:
+                    shard, fuse = at[a], None
+                if a < b and seeds[a].is_valid:
+                    f = batch.slice(a, 1).to_pylist()[0]
+                    fuse = BinaryFuse(f["seed"], f["segment_length"], f["segment_count"], np.frombuffer(f["prints"], np.uint16))
+                    a += 1
+                if a < b and fuse is not None:
+                    hit = fuse.may_hold(keys.slice(a, b - a).to_numpy().view(np.uint64))
+                    yield batch.slice(a, b - a).filter(pa.array(hit)).select(["text_sha256"])
+
+    dealt = asked.unionByName(kept).repartition(shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first())
+    return dealt.mapInArrow(run, "text_sha256 string")
 
 
 def confirmed(docs: DataFrame, positives: DataFrame, snapshot: DataFrame, incoming: DataFrame) -> DataFrame:
-    """text_sha256 of the positives whose snapshot and incoming texts are the same bytes."""
+    """text_sha256 of the positives whose snapshot and incoming texts are the same bytes.
+
+    Up to BROADCAST_IDS, only the texts to compare leave the tasks that read them.
+    """
     both = positives.join(snapshot.select("text_sha256", F.col("top_id").alias("old_id")), "text_sha256").join(incoming.select("text_sha256", F.col("top_id").alias("new_id")), "text_sha256")
-    asked = both.select("text_sha256", F.explode(F.array("old_id", "new_id")).alias("doc_id")).where("doc_id is not null")
-    texts = docs.select("doc_id", common.text_of(docs).alias("text"), F.sha2(common.text_of(docs), 256).alias("own_sha256"))
-    seen = asked.join(texts, "doc_id").where("text_sha256 = own_sha256")
-    return seen.groupBy("text_sha256").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a = b").select("text_sha256")
+    asked = common.settled(both.select("text_sha256", F.explode(F.array("old_id", "new_id")).alias("doc_id")), "asked")
+    texts = docs.select("doc_id", common.text_of(docs).alias("text"))
+    named, few = asked.where("doc_id is not null"), asked.count() <= BROADCAST_IDS
+    seen = texts.join(F.broadcast(named) if few else named, "doc_id").select("text_sha256", "text")
+    nameless = asked.where("doc_id is null").select("text_sha256").distinct()
+    if not nameless.isEmpty():  # a bucket without any doc_id is found by its digest
+        seen = seen.unionByName(texts.where("doc_id is null").join(nameless, F.sha2("text", 256) == nameless["text_sha256"]).select("text_sha256", "text"))
+    own = F.when(F.sha2("text", 256) == F.col("text_sha256"), F.col("text"))  # a repeated id may have other texts
+    return seen.groupBy("text_sha256").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a = b").select("text_sha256")
+
+
+def against(docs: DataFrame, rows: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) for rows (doc_id, text_sha256, old), whose texts are in docs."""
+    incoming = common.settled(groups(rows.where("not old")), "incoming")
+    same = common.settled(confirmed(docs, screen(incoming, snapshot), snapshot.buckets, incoming), "same").withColumn("same", F.lit(True))
+    # A side's group joins the other's only where the bytes agreed; a digest of one side is alone anyway.
+    sides = snapshot.buckets.withColumn("old", F.lit(True)).unionByName(incoming.withColumn("old", F.lit(False))).join(same, "text_sha256", "left")
+    apart = F.when(F.col("same"), F.lit(None).cast("boolean")).otherwise(F.col("old"))
+    whole = sides.groupBy("text_sha256", apart.alias("apart")).agg(F.max("top_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    both = F.when(F.col("apart").isNull(), F.array(F.lit("1"), F.lit("0"))).otherwise(F.array(F.col("apart").cast("int").cast("string")))
+    shared = whole.where("group_size > 1").select(F.explode(F.transform(both, lambda x: F.concat("text_sha256", x))).alias("bucket"), "keep_id", "group_size")
+    rows = rows.withColumn("bucket", F.concat("text_sha256", F.col("old").cast("int").cast("string")))
+    found = common.join_groups(rows, common.settled(shared, "shared"), "bucket", "group_size", rows.count())
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    found = found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
 
 
 def dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
@@ -197,17 +260,26 @@ def dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
 
     in_snapshot marks the rows of the immutable snapshot; the others are the batch.
     """
-    rows = common.settled(docs.select("doc_id", F.sha2(common.text_of(docs), 256).alias("text_sha256"), F.coalesce(in_snapshot, F.lit(False)).alias("old")))
-    snapshot, incoming = common.settled(groups(rows.where("old"))), groups(rows.where("not old"))
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(snapshot.count() / KEYS_PER_SHARD))
-    positives = screen(incoming, build_filters(snapshot, shards), shards)
-    same = common.settled(confirmed(docs, positives, snapshot, incoming)).withColumn("same", F.lit(True))
-    # A side's group joins the other's only where the bytes agreed; a digest of one side is alone anyway.
-    sides = snapshot.withColumn("old", F.lit(True)).unionByName(incoming.withColumn("old", F.lit(False))).join(same, "text_sha256", "left")
-    apart = F.when(F.col("same"), F.lit(None).cast("boolean")).otherwise(F.col("old"))
-    whole = sides.groupBy("text_sha256", apart.alias("apart")).agg(F.max("top_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    side = whole.select("text_sha256", "keep_id", "group_size", F.explode(F.when(F.col("apart").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array("apart"))).alias("old"))
-    return rows.join(side, ["text_sha256", "old"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+    rows = docs.select("doc_id", F.sha2(common.text_of(docs), 256).alias("text_sha256"), F.coalesce(in_snapshot, F.lit(False)).alias("old"))
+    rows = common.settled(rows, "digests")
+    snapshot = save_snapshot(rows.where("old"), common.fresh(docs.sparkSession, "snapshot"))
+    return against(docs, rows, snapshot)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that ``found`` (a dedup of docs) keeps, and of repeated rows and of rows without any doc_id one per text."""
+    clear = "_" * (1 + max(map(len, docs.columns)))  # no column has such a name
+    dropped = common.settled(found.where("not kept").select("doc_id", "text_sha256").distinct(), "dropped")
+    repeated = found.where("kept").groupBy("text_sha256").agg(F.count("*").alias("n")).where("n > 1").select("text_sha256")
+    repeated = common.settled(repeated, "repeated")
+    named = docs.withColumn(clear, F.sha2(common.text_of(docs), 256))
+    kept = named.join(dropped, named["doc_id"].eqNullSafe(dropped["doc_id"]) & (named[clear] == dropped["text_sha256"]), "left_anti")
+    if repeated.isEmpty():
+        return kept.drop(clear)
+    same = kept[clear] == repeated["text_sha256"]
+    ordered = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    one = kept.join(repeated, same, "left_semi").groupBy(clear, common.text_of(docs)).agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("_row"))
+    return kept.join(repeated, same, "left_anti").drop(clear).unionByName(one.select("_row.*"))
 
 
 def half(doc_id: Column) -> Column:
