@@ -3,35 +3,56 @@
 Features are hashed words, word pairs and skip-grams (pairs one or two words
 apart), each counted once a document.  Every coordinate has its own rate, and L1
 keeps most weights at zero, so the model is a short list of weights that is
-broadcast.  It is fitted on at most ``MOST_ROWS`` labelled rows outside the held-out
-fold, chosen by a hash of doc_id; scoring reads every row's whole text without a
-shuffle.
+broadcast.  It is fitted on about ``MOST_ROWS`` labelled rows outside the held-out
+fold, chosen by a threshold on a hash of doc_id, and on fewer if they have more than
+``MOST_FEATURES`` features.  Features are hashed where texts are read; one bounded
+task fits the weights; scoring reads every row's whole text without a shuffle.
 
 Null and empty texts get the score of a document without features.  Without usable
-labels (none, or one class only) every score is 0.0.  Labels, lang, source and
-doc_id are never inputs of a score.  Repeated rows are scored alike.
+labels (none, or one class only) every score is 0.0.  Of several labels of one
+doc_id the largest counts; rows that repeat a doc_id with other texts all learn it.
+Labels, lang, source and doc_id are never inputs of a score.  Repeated rows are
+scored alike; the order of rows does not matter, as training rows are sorted by
+doc_id and features.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import common
 
-#: Bound of the training sample, in labelled rows.
-MOST_ROWS = 20_000
+#: Bounds of the training sample: expected labelled rows, and features (4 bytes each) of all of them.
+MOST_ROWS, MOST_FEATURES = 20_000, 50_000_000
 BITS = 20
-EPOCHS, ALPHA, BETA, L1, L2, BIAS_RATE = 4, 3.0, 1.0, 6.0, 0.0, 0.03
+BETA, L2, BIAS_RATE = 1.0, 0.0, 0.03
 #: A feature is learned from if so many training rows have it.
 LEAST_ROWS = 2
 REJECT_AT = 0.7
 MARKS = ".,;:!?\"'()[]{}*%$&#|-_<>"
 
 
+@dataclass(frozen=True)
+class Setting:
+    """What ``compare_settings`` chooses by: passes over the rows, rate, L1, and the weight of a toxic row."""
+
+    epochs: int = 4
+    alpha: float = 3.0
+    l1: float = 6.0
+    positive: float = 1.0
+
+
+DEFAULT = Setting()
+SETTINGS = (DEFAULT, Setting(l1=3.0), Setting(l1=2.0), Setting(positive=4.0), Setting(l1=4.0, positive=4.0),
+            Setting(positive=8.0), Setting(6, 1.0, 3.0, 4.0), Setting(6, 1.0, 2.0, 2.0))
+
+
 class Features:
     """Distinct feature indices of texts; words are hashed once and remembered."""
 
@@ -56,15 +77,16 @@ class Features:
     def distinct(self, text: str):
         import numpy as np
 
-        return np.unique(self.all(text))
+        return np.unique(self.all(text)).astype(np.int32)
 
 
 class Ftrl:
     """FTRL-proximal with per-coordinate rates over 0/1 features."""
 
-    def __init__(self):
+    def __init__(self, setting: Setting = DEFAULT):
         import numpy as np
 
+        self.setting = setting
         self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
         self.bias = 0.0
 
@@ -72,87 +94,109 @@ class Ftrl:
         import numpy as np
 
         z = self.z[at]
-        rate = (BETA + np.sqrt(self.n[at])) / ALPHA + L2
-        return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / rate)
+        rate = (BETA + np.sqrt(self.n[at])) / self.setting.alpha + L2
+        return np.where(np.abs(z) <= self.setting.l1, 0.0, (np.sign(z) * self.setting.l1 - z) / rate)
 
     def learn(self, at, label: int) -> None:
         import numpy as np
 
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum() + self.bias, -35, 35))) - label
-        sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
+        g *= self.setting.positive if label else 1.0
+        sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.setting.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
         self.bias -= BIAS_RATE * g
 
 
-class TrainingSet:
-    """Feature indices of labelled rows in a few large arrays; texts are let go at once."""
+def fit(rows: list, setting: Setting = DEFAULT) -> list[tuple[int, float]]:
+    """(index, weight) of the non-zero weights of (label, feature indices) rows, in their
+    order; the bias has index -1.  [] without two classes."""
+    import numpy as np
 
-    def __init__(self):
-        self.features, self.flat, self.ends, self.rows = Features(), [], [], []
+    if len({label for label, _ in rows}) < 2:
+        return []
+    having = np.zeros(1 << BITS, np.int64)
+    for _, at in rows:
+        having[at] += 1
+    often, model = having >= LEAST_ROWS, Ftrl(setting)
+    for epoch in range(setting.epochs):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            label, at = rows[i]
+            model.learn(at[often[at]], label)
+    held = np.flatnonzero(np.abs(model.z) > setting.l1)
+    return [(-1, float(model.bias)), *zip(held.tolist(), model.weights(held).tolist())]
 
-    def add(self, ids: list, labels: list[int], texts: list[str]) -> None:
-        import numpy as np
 
-        found = [self.features.distinct(t).astype(np.int32) for t in texts]
-        self.rows += [(i, label, len(self.flat), at) for at, (i, label) in enumerate(zip(ids, labels))]
-        self.ends.append(np.cumsum([0, *map(len, found)]))
-        self.flat.append(np.concatenate(found))
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """(doc_id, toxic, features) of about ``most`` labelled rows outside the held-out fold, in the shared folder.
 
-    def fit(self) -> list[tuple[int, float]]:
-        """(index, weight) of the non-zero weights; the bias has index -1.  [] without two classes."""
-        import numpy as np
+    Ids are chosen before texts are read; texts do not leave the tasks that read them.
+    """
+    known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~common.fold_is_held_out(labels["doc_id"]))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    picked = _thinned(known, most / max(1, known.count()), "doc_id")
+    texts = docs.select("doc_id", common.text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id")
 
-        if len({label for _, label, *_ in self.rows}) < 2:
-            return []
-        self.features, having = None, np.zeros(1 << BITS, np.int64)
-        for part in self.flat:
-            having += np.bincount(part, minlength=1 << BITS)
-        for k, part in enumerate(self.flat):
-            often = having[part] >= LEAST_ROWS
-            self.ends[k] = np.concatenate([[0], np.cumsum(often)])[self.ends[k]]
-            self.flat[k] = part[often]
-        rows, model = sorted(self.rows), Ftrl()
-        for epoch in range(EPOCHS):
-            for i in np.random.default_rng(epoch).permutation(len(rows)):
-                _, label, k, at = rows[i]
-                model.learn(self.flat[k][self.ends[k][at] : self.ends[k][at + 1]], label)
-        held = np.flatnonzero(np.abs(model.z) > L1)
-        return [(-1, float(model.bias)), *zip(held.tolist(), model.weights(held).tolist())]
-
-
-def fit(rows: list[tuple[str, int]]) -> list[tuple[int, float]]:
-    """The weights learned from (text, label) rows."""
-    found = TrainingSet()
-    if rows:
-        found.add(list(range(len(rows))), [label for _, label in rows], [text for text, _ in rows])
-    return found.fit()
+    def start():
+        made = common.per_process("toxicity", Features)
+        return lambda keys, texts: [keys[0], keys[1], [made.distinct(t).tolist() for t in texts]]
 
+    found = common.settled(common.map_texts(texts, ["doc_id", "toxic"], "doc_id long, toxic int, features array<int>", start))
+    total = found.agg(F.sum(F.size("features").cast("long"))).first()[0] or 0
+    return _thinned(found, MOST_FEATURES / max(1, total), "doc_id")
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """(toxic, text) of at most ``most`` labelled rows outside the held-out fold; ids are chosen before texts are read."""
-    known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~common.fold_is_held_out(labels["doc_id"]))
-    picked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", common.text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
+
+def _thinned(rows: DataFrame, share: float, key: str) -> DataFrame:
+    """The rows whose key's hash is in the first ``share`` of the range: all from a share of 1 on."""
+    scale = 1 << 30
+    return rows if share >= 1 else rows.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(scale)) < int(scale * share))
+
+
+def _rows(batches: Iterable) -> list:
+    """(label, feature indices) in the order of ids and features, whatever the order of arrival."""
+    import numpy as np
+
+    found = []
+    for batch in batches:
+        ids, toxic, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        flat, ends = column.flatten().to_numpy().copy(), column.offsets.to_numpy()
+        ends = ends - ends[0]
+        found += [(i, y, flat[a:b]) for i, y, a, b in zip(ids, toxic, ends, ends[1:])]
+    return [(y, at) for _, y, at in sorted(found, key=lambda x: (x[0], x[1], len(x[2]), np.asarray(x[2]).tobytes()))]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> list[tuple[int, float]]:
-    """The fitted weights.  Bounded: ``most`` rows reach the one training task, and at most 2^BITS weights leave it."""
+    """The fitted weights.  The one training task reads at most MOST_FEATURES features; at most 2^BITS weights leave it."""
 
     def run(batches):
-        found = TrainingSet()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found.add(*(c.to_pylist() for c in batch.slice(at, 256).columns))
-        found = found.fit()
+        found = fit(_rows(batches))
         yield pa.RecordBatch.from_pydict({"at": pa.array([i for i, _ in found], pa.int64()), "weight": pa.array([w for _, w in found], pa.float64())})
 
-    sample = training_rows(docs, labels, most).withColumn("toxic", F.col("toxic").cast("int"))
-    fitted = sample.repartition(1).mapInArrow(run, "at long, weight double")
+    fitted = training_rows(docs, labels, most).repartition(1).mapInArrow(run, "at long, weight double")
     return [(r["at"], r["weight"]) for r in fitted.collect()]
 
 
+def compare_settings(docs: DataFrame, labels: DataFrame, settings: tuple = SETTINGS, most: int = MOST_ROWS) -> DataFrame:
+    """(setting, found, toxic, false_alarms, clean): each setting learned on one of the two training folds
+    and judged at REJECT_AT on the other.  The held-out fold has no part in it.
+    """
+    rows = training_rows(docs, labels, most).where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    rows = rows.select("doc_id", "toxic", "features", (F.crc32(F.col("doc_id").cast("string")) % 3 == 2).alias("judged"))
+    kind = "setting int, found long, toxic long, false_alarms long, clean long"
+
+    def run(batches):
+        batches = list(batches)
+        folds = [_rows(b.filter(b.column(3) if judged else pa.compute.invert(b.column(3))) for b in batches) for judged in (False, True)]
+        for k, setting in enumerate(settings):
+            scorer = Scorer(fit(folds[0], setting))
+            scored = [(scorer.score_of(at) >= REJECT_AT, y) for y, at in folds[1]]
+            sums = [sum(1 for p, y in scored if p and y), sum(y for _, y in scored), sum(1 for p, y in scored if p and not y), sum(1 - y for _, y in scored)]
+            yield pa.RecordBatch.from_pydict(dict(zip(("setting", "found", "toxic", "false_alarms", "clean"), ([x] for x in (k, *sums)))), schema=pa.schema([("setting", pa.int32()), *((n, pa.int64()) for n in ("found", "toxic", "false_alarms", "clean"))]))
+
+    return rows.repartition(1).mapInArrow(run, kind)
+
+
 class Scorer:
     def __init__(self, weights: list[tuple[int, float]]):
         import numpy as np
@@ -171,7 +215,14 @@ class Scorer:
         if not self.fitted:
             return 0.0
         at = self.features.all(text)
-        hit = np.unique(at[self.table[at] != 0])
+        return self.score_of(np.unique(at[self.table[at] != 0]))
+
+    def score_of(self, hit) -> float:
+        """The score of distinct feature indices."""
+        import numpy as np
+
+        if not self.fitted:
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(self.table[hit].sum() + self.bias, -35, 35))))
 
 
