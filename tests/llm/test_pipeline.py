@@ -42,15 +42,38 @@ def test_stages(spark, tmp_path):
     assert all(r.round_trips and r.ids == codec.encode(texts[r.doc_id]) for r in rows["bpe"])
 
 
-def test_awkward_rows_pass_through(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _score double, takes long, cell string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _score double, takes long, cell string"
+
+
+def stages(spark, tmp_path, rows):
+    """Each stage's rows after rows went through the ones before, as run() does it."""
+    docs, seen = spark.createDataFrame(rows, SCHEMA), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / f"{len(rows)}-{name}")
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = docs.collect()
+        if name != "bpe":
+            assert docs.columns == [f.split()[0] for f in SCHEMA.split(", ")]
+    return seen
+
+
+def test_awkward_rows(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    rows = [(1, None, None, None, None, 1.0, 1, "c"), (2, "", "en", "a", 0, 1.0, 1, "c"), (3, "x y", "en", "a", 3, 1.0, 1, "c"), (3, "x y", "en", "a", 3, 1.0, 1, "c"), (None, "x y", "en", None, 3, 1.0, 1, "c")]
-    for content in (rows, []):
-        docs = spark.createDataFrame(content, schema)
-        for name, stage in corpus_pipeline.STAGES:
-            docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), stage(spark, docs, str(tmp_path)).schema)
-        assert docs.count() <= 2 * len(content)
+    more = (None, "a", 3, 1.0, 1, "c")
+    long = " ".join(f"w{i}" for i in range(50_000))
+    rows = [(1, None, *more), (2, "", *more), (3, "x y", *more), (3, "x y", *more), (None, "x y", *more), (None, "z", *more), (None, "z", *more), (4, "x  y", *more), (5, long, *more), (6, long + " end", *more)]
+    seen = stages(spark, tmp_path, rows)
+    ids = lambda name: sorted((r.doc_id is None, r.doc_id, r.text) for r in seen[name])
+    assert Counter(map(repr, seen["toxicity"])) == Counter(map(repr, spark.createDataFrame(rows, SCHEMA).collect()))  # one class only: nothing goes
+    kept = sorted((i is None, i, t) for i, t in ((2, ""), (3, "x y"), (4, "x  y"), (5, long), (6, long + " end"), (None, "z")))
+    assert ids("exact_dedup") == kept
+    # 3 and 4 are the same words; 6 is a near copy of 5; a row without id stays
+    assert ids("near_dedup") == [x for x in kept if x[1] not in (4, 6)]
+    takes = Counter((r.doc_id, r.text) for r in seen["mixing"])
+    assert set(takes) <= {(r.doc_id, r.text) for r in seen["near_dedup"]} and max(takes.values()) <= mixing.CAP
+    assert all(r.round_trips and r.n_tokens == len(r.ids) for r in seen["bpe"]) and len(seen["bpe"]) == len(seen["mixing"])
+    assert all(not found for found in stages(spark, tmp_path, []).values())
 
 
 def test_near_copies_of_either_measure_go(spark):
