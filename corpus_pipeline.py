@@ -2,20 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs.  All but the last return the columns
-of documents.
-
-* Rows with a toxicity score of 0.7 or more go.
-* Of equal texts the row with the largest doc_id stays, of near-duplicate groups the
-  one with the smallest.  Rows without a doc_id stay, as copies are named by id.
-* Near duplicates share 80 % of their five-word or 85 % of their three-word shingles.
-* Mixing repeats or leaves out rows to meet its sources' targets.
-* Encoding gives every row's token ids; round_trips says that decoding gave the text.
+of documents.  An empty table stays empty in every stage, with the same columns;
+texts of any length are read whole; columns of other names, also those that an
+operator uses itself, come through unchanged.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,27 +20,47 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a toxicity score of 0.7 or more go, all copies alike.
+
+    Null and empty texts have the score of a text without features; without labels of
+    both classes nothing goes.
+    """
     weights = toxic.train(docs, common.table(spark, sf_dir, "labels"))
     name = "_score" + "_" * max(map(len, docs.columns))  # no column has it
     return toxic.with_score(docs, weights, name).where(F.col(name) < toxic.REJECT_AT).drop(name)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = exact_dedup.dedup(docs, exact_dedup.half(docs["doc_id"])).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256")).distinct()
-    same = (docs["doc_id"] == dropped["_id"]) & (F.sha2(common.text_of(docs), 256) == dropped["_sha256"])
-    return docs.join(dropped, same, "left_anti")
+    """Of equal texts the row with the largest doc_id stays, and one row where it is repeated.
+
+    Null and empty texts are equal.  Rows without doc_id go where an equal text has one;
+    of equal ones that all lack it, one stays: the smallest by all columns.
+    """
+    return exact_dedup.one_of_each(docs, exact_dedup.dedup(docs, exact_dedup.half(docs["doc_id"])))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate group the row with the smallest doc_id stays.
+
+    Near duplicates share 80 % of their five-word or 85 % of their three-word shingles.
+    Texts without words are linked with nothing and stay, as do rows without doc_id,
+    which no group can name.
+    """
     dropped = near_dedup.near_duplicates(docs, near_dedup.EITHER).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+    return docs.join(common.settled(dropped), docs["doc_id"] == F.col("_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are left out, kept or repeated once to meet their sources' targets.
+
+    A null source is a source; a null text has no words and is taken with its hash cell,
+    twice at most; a source without any words loses its rows.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's token ids; round_trips says that decoding gave the text.  Null texts have no ids."""
     return bpe.encode_checked(docs)
 
 
@@ -57,14 +70,13 @@ STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near),
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written to the shared checkpoint folder.
 
-    A stage's files are removed once the next stage is written.
+    A stage's files are removed once the next stage is written, the last one's when the
+    application ends.
     """
     docs, before = common.table(spark, sf_dir, "documents"), None
-    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs, path = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if before:
             common.remove(spark, before)
-        before = f"{folder}/{name}"
+        before = path
     return docs
