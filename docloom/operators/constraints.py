@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from docloom.functions.types import FieldDef
 from docloom.plans.syntax import CommandError
 
+#: Up to so many new values are looked for by a filter that the scan can push down.
+FEW = 100
+
 
 def fill_required(df: DataFrame, fields: list[FieldDef]) -> DataFrame:
     """Nulls of required fields become the default, where there is one."""
@@ -31,7 +34,10 @@ def unique_violations(df: DataFrame, field: str) -> DataFrame:
 
 
 def collisions(existing: DataFrame, new: DataFrame, field: str) -> DataFrame:
-    """New rows whose value an existing document has."""
+    """New rows whose value an existing document has.  A few values go to the scan as a filter, more by a join."""
+    few = new.select(field).where(F.col(field).isNotNull()).limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        existing = existing.where(F.col(field).isin([r[0] for r in few]))
     return new.join(existing.select(field), field, "left_semi")
 
 

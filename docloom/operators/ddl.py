@@ -13,8 +13,12 @@ def add_field(df: DataFrame, new: FieldDef) -> DataFrame:
     """A field with its default everywhere; a required one without default gets the zero value."""
     if new.name in df.columns:
         raise CommandError(f"field '{new.name}' already exists")
-    value = ZERO[new.type] if new.default is None and new.required else new.default
-    return df.withColumn(new.name, F.lit(value).cast(new.spark_type))
+    return df.withColumn(new.name, F.lit(first_value(new)).cast(new.spark_type))
+
+
+def first_value(new: FieldDef) -> object:
+    """What documents that are there get in a new field."""
+    return ZERO[new.type] if new.default is None and new.required else new.default
 
 
 def change_field(df: DataFrame, old: str, new: FieldDef) -> DataFrame:

@@ -18,7 +18,7 @@ def one_row(df: DataFrame, values: dict) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema}
     typed = {n: _as_field(v, n, kinds.get(n, literal_type(v))) for n, v in values.items()}
     known = [typed.get(n, F.lit(None).cast(kind)).alias(n) for n, kind in kinds.items()]
-    return df.sparkSession.range(1).select(*known, *[c.alias(n) for n, c in typed.items() if n not in kinds])
+    return df.sparkSession.range(0, 1, 1, 1).select(*known, *[c.alias(n) for n, c in typed.items() if n not in kinds])
 
 
 def _as_field(value: object, name: str, kind: T.DataType) -> Column:

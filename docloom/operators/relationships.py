@@ -27,13 +27,18 @@ def _on(left: DataFrame, right: DataFrame, rel: Relationship) -> Column:
     return reduce(lambda a, b: a & b, [left[a] == right[f"_to_{b}"] for a, b in rel.pairs])
 
 
+def child_names(parents: DataFrame, children: DataFrame, rel: Relationship) -> dict[str, str]:
+    """What the children's fields are called beside their parents': clashing names get the relationship's as prefix."""
+    return {c: f"{rel.name}_{c}" if c in parents.columns else c for c in children.columns}
+
+
 def include(parents: DataFrame, children: DataFrame, rel: Relationship, child_filter: Column | None = None) -> DataFrame:
     """Parents with their children's fields beside them; clashing names get the relationship's as prefix.
 
     Without child_filter parents without children stay; with it only matching pairs do.
     """
     kept = children if child_filter is None else children.where(child_filter)
-    names = {c: f"{rel.name}_{c}" if c in parents.columns else c for c in kept.columns}
+    names = child_names(parents, kept, rel)
     right = kept.select(*[F.col(f"`{b}`").alias(f"_to_{b}") for _, b in rel.pairs], *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     joined = parents.join(right, _on(parents, right, rel), "left" if child_filter is None else "inner")
     return joined.drop(*[f"_to_{b}" for _, b in rel.pairs])

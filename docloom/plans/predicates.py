@@ -2,7 +2,8 @@
 
 Two semantics: ``documented`` compares as the language describes; ``compat`` keeps
 two known oddities of older clients: OR acts as AND, and on strings and bools every
-operator means equality.  A comparison that has no meaning is false, also for !=.
+operator means equality; it compares no times.  A comparison that has no meaning is
+false, also for !=.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ OPS = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt,
 DOCUMENT_ID = "documentid"
 EXTRA = "extra"
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 FRACTIONS = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -37,6 +39,13 @@ def compile_filter(expr, schema: T.StructType, id_col: str, semantics: str = "do
     return _compare(expr, schema, id_col, semantics == "compat")
 
 
+def fields_of(expr) -> set[str]:
+    """The fields that a filter tests."""
+    if isinstance(expr, Compare):
+        return {expr.field}
+    return set() if expr is None else {f for x in expr.items for f in fields_of(x)}
+
+
 def conjuncts(expr) -> list[Compare]:
     """The comparisons that every kept row must satisfy."""
     if isinstance(expr, Compare):
@@ -92,6 +101,9 @@ def _typed(col: Column, kind: T.DataType, op: str, value: object, compat: bool)
                 return OPS[op](col, F.lit(number))  # stays a plain comparison, so it reaches the scan
             return OPS[op](col.cast("double"), F.lit(float(number)))
         return _finite(col, compat, lambda x: OPS[op](x, F.lit(float(number))))
+    if isinstance(kind, TIMES) and isinstance(value, str) and not compat:
+        # A text that is no date or time becomes null, which no comparison keeps.
+        return OPS[op](col, F.lit(value).try_cast("timestamp" if isinstance(kind, T.TimestampType) else "timestamp_ntz"))
     return F.lit(False)
 
 

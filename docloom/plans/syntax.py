@@ -84,6 +84,14 @@ class CreateRelationship:
     source: str
     target: str
     pairs: tuple[tuple[str, str], ...]
+    types: tuple[tuple[str, str], ...] = ()  # of each pair, where they are declared
+
+
+@dataclass(frozen=True)
+class UpdateRelationship:
+    """The relationship of that name, as it shall be."""
+
+    made: CreateRelationship
 
 
 @dataclass(frozen=True)
@@ -109,6 +117,7 @@ class CreateIndex:
     bundle: str
     fields: tuple[str, ...]
     unique: bool = False
+    ignore_case: bool = False
 
 
 @dataclass(frozen=True)

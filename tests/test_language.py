@@ -29,6 +29,11 @@ ACCEPTED = [
     'CREATE H-INDEX "i" ON BUNDLE "b" WITH FIELDS ({"a", FALSE, TRUE})',
     'UPDATE BUNDLE "b" CHANGE FIELD "a" TO {"c", "INT", TRUE, FALSE, 0} ADD FIELD {"d", "BOOL", FALSE, FALSE} REMOVE FIELD "e"',
     'UPDATE BUNDLE "b" CREATE RELATIONSHIP "r" FROM BUNDLE "b" TO BUNDLE "c" WITH FIELDS ({"x", "y"})',
+    'UPDATE BUNDLE "b" CREATE RELATIONSHIP "r" FROM BUNDLE "b" TO BUNDLE "c" WITH FIELDS ({"x", INT, TRUE, FALSE}, {"y", "INT", TRUE, TRUE})',
+    'UPDATE RELATIONSHIP "r" FROM BUNDLE "b" TO BUNDLE "c" WITH FIELDS ({"x", "y"}, {"z", "w"})',
+    'CREATE H-INDEX "i" ON BUNDLE "b" WITH FIELDS ({"a", FALSE}) IGNORE CASE',
+    'ADD DOCUMENT TO BUNDLE "b" (a = 1, c = "x")',
+    'SELECT DOCUMENTS FROM "b" WHERE a == 1 && (b == 2 || c == 3)',
     "CREATE DATABASE plain",
     "SELECT DATABASES FROM DEFAULT;",
 ]
@@ -41,6 +46,8 @@ REJECTED = [
     'CREATE BUNDLE "b" WITH FIELDS ({"a", "NUMBER", TRUE, FALSE})',
     "FETCH everything",
     "SELECT DOCUMENTS",
+    'UPDATE RELATIONSHIP "r" FROM BUNDLE "b" TO BUNDLE "c" WITH FIELDS ({"x", INT, TRUE, FALSE}, {"y", "z"})',
+    'CREATE B-INDEX "i" ON BUNDLE "b" WITH FIELDS ({"a", FALSE}) IGNORE CASE',
     "",
 ]
 
@@ -95,6 +102,16 @@ def test_truth_table(spark, kind, value, text, documented, compat):
         assert (df.where(compile_filter(parse_filter(text), df.schema, "id", semantics)).count() == 1) is expected, semantics
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date"])
+def test_times_against_quoted_dates(spark, kind):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["2020-01-01", "2020-01-01 12:00:00", "2021-06-05", None])], "id long, t string").select("id", F.col("t").cast(kind).alias("t"))
+    ids = lambda text, semantics="documented": sorted(r.id for r in df.where(compile_filter(parse_filter(text), df.schema, "id", semantics)).collect())
+    noon = [0, 1] if kind == "date" else [0]
+    assert ids('t == "2020-01-01 00:00:00"') == noon == ids('t < "2020-01-01 06:00"')
+    assert ids('t >= "2020-01-02" AND t != "2021-06-06"') == [2]
+    assert ids('t != "no date"') == [] == ids("t > 5") == ids('t > "2000-01-01"', "compat")
+
+
 def test_or_in_both_semantics(spark):
     df = spark.createDataFrame([(1, 1, 9)], "id long, a long, b long")
     expr = parse_filter("a == 1 OR b == 2")
