@@ -22,7 +22,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,8 +185,10 @@ def compare_settings(docs: DataFrame, labels: DataFrame, settings: tuple = SETTI
     kind = "setting int, found long, toxic long, false_alarms long, clean long"
 
     def run(batches):
+        import pyarrow.compute as pc
+
         batches = list(batches)
-        folds = [_rows(b.filter(b.column(3) if judged else pa.compute.invert(b.column(3))) for b in batches) for judged in (False, True)]
+        folds = [_rows(b.filter(pc.equal(b.column(3), judged)) for b in batches) for judged in (False, True)]
         for k, setting in enumerate(settings):
             scorer = Scorer(fit(folds[0], setting))
             scored = [(scorer.score_of(at) >= REJECT_AT, y) for y, at in folds[1]]
