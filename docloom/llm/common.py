@@ -102,17 +102,34 @@ def fold_is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system: a worker lives on through the next stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def per_process(key, make: Callable):
     """make() once per Python worker process; later tasks in the worker share it.
 
-    A worker keeps one such object: another operator's goes when this one's comes.
+    A worker keeps one such object: another operator's goes when this one's comes, in
+    cycles as it may be (a memo that calls its owner).
     """
+    import gc
     import sys
     import types
 
     state = sys.modules.setdefault("_docloom_worker_state", types.ModuleType("_docloom_worker_state"))
     if getattr(state, "key", None) != key:
         state.key = state.value = None
+        gc.collect()
+        give_back()
         state.value = make()
         state.key = key
     return state.value
@@ -164,6 +181,7 @@ def map_texts(docs: DataFrame, columns: list[str], schema: str, start: Callable,
                     yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, out_schema)], schema=out_schema)
         finally:
             gc.enable()
+            give_back()
 
     picked = [docs[c].cast("long").alias(c) if c == "doc_id" else docs[c] for c in columns]
     return docs.select(*picked, text_of(docs).alias("text")).mapInArrow(run, schema)

@@ -154,7 +154,7 @@ def _thinned(rows: DataFrame, share: float, key: str) -> DataFrame:
 
 def _rows(batches: Iterable) -> list:
     """(label, feature indices) in the order of ids and features, whatever the order of arrival."""
-    import numpy as np
+    from collections import Counter
 
     found = []
     for batch in batches:
@@ -162,13 +162,17 @@ def _rows(batches: Iterable) -> list:
         flat, ends = column.flatten().to_numpy().copy(), column.offsets.to_numpy()
         ends = ends - ends[0]
         found += [(i, y, flat[a:b]) for i, y, a, b in zip(ids, toxic, ends, ends[1:])]
-    return [(y, at) for _, y, at in sorted(found, key=lambda x: (x[0], x[1], len(x[2]), np.asarray(x[2]).tobytes()))]
+    rows = Counter(i for i, _, _ in found)
+    # Bytes of features are held only to order the rows of a repeated id.
+    found.sort(key=lambda x: (x[0], len(x[2]), x[2].tobytes() if rows[x[0]] > 1 else b""))
+    return [(y, at) for _, y, at in found]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> list[tuple[int, float]]:
     """The fitted weights.  The one training task reads at most MOST_FEATURES features; at most 2^BITS weights leave it."""
 
     def run(batches):
+        common.per_process("training", list)  # no operator's tables beside the rows
         found = fit(_rows(batches))
         yield pa.RecordBatch.from_pydict({"at": pa.array([i for i, _ in found], pa.int64()), "weight": pa.array([w for _, w in found], pa.float64())})
 
