@@ -4,7 +4,8 @@ Each word is held as contiguous arrays: its parts and the merge rank of every
 adjacent pair.  The smallest rank is found by scanning, its boundary deleted and
 the two neighbouring ranks refreshed.  Scanning is quadratic, so words longer
 than ``SHORT_WORD`` bytes take a heap over linked parts, with the same result.
-Words repeat, so a bounded cache maps white-space-delimited chunks to their ids.
+Words repeat, so a bounded cache maps white-space-delimited chunks to their ids, as
+tuples that share one integer object for each id.
 
 Null and empty texts encode to no ids and decode to "".  Row order, repeated
 rows and additional columns do not matter.  The special string of the vocabulary
@@ -125,19 +126,21 @@ class ByteBpe:
             self.bytes_of[i] = bytes(as_byte[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        self.shared = tuple(range(len(self.bytes_of))).__getitem__
         self.words = regex.compile(self.PATTERN).findall
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.word_ids = common.Remembered(self._word, CACHE_ENTRIES // 5)
         self.chunk_ids = common.Remembered(self._chunk, CACHE_ENTRIES)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8")
         if len(raw) > SHORT_WORD:
-            return self.merger.merge([self.byte_id[b] for b in raw])
+            return tuple(map(self.shared, self.merger.merge([self.byte_id[b] for b in raw])))
         byte_id, byte_ranks = self.byte_id, self.byte_ranks
-        return self.merger.merge_ranked([byte_id[b] for b in raw], [byte_ranks[a][b] for a, b in zip(raw, raw[1:])])
+        merged = self.merger.merge_ranked([byte_id[b] for b in raw], [byte_ranks[a][b] for a, b in zip(raw, raw[1:])])
+        return tuple(map(self.shared, merged))
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a chunk that stands after one space; Uneven, not remembered, if white space at its ends meets that of others."""
         if chunk.isalpha():  # one word, likely a rare one
             return self._word(" " + chunk)
@@ -145,7 +148,7 @@ class ByteBpe:
             return self._word(" " + chunk[:-1]) + self.word_ids[chunk[-1]]
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise Uneven
-        return list(chain.from_iterable(map(self.word_ids.__getitem__, self.words(" " + chunk))))
+        return tuple(chain.from_iterable(map(self.word_ids.__getitem__, self.words(" " + chunk))))
 
     def _plain(self, text: str) -> list[int]:
         # Between single spaces a chunk is split alike wherever it stands, so its ids can be kept.
