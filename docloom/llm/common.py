@@ -22,6 +22,8 @@ def text_of(docs: DataFrame):
     return F.coalesce(docs["text"], F.lit(""))
 
 
+#: A table of at most so many rows of a few numbers, about 100 bytes each, may be broadcast to be joined.
+BROADCAST_ROWS = 50_000
 #: Keys with more rows than this, and than a 1 / MOST_HOT share of all rows, are joined apart from the others.
 HOT_ROWS, MOST_HOT = 10_000, 50_000
 
@@ -74,6 +76,15 @@ def settled(df: DataFrame, name: str = "step") -> DataFrame:
     return written(df, name)[0]
 
 
+def by_rows(df: DataFrame, rows: int) -> DataFrame:
+    """df as the right side of a join: broadcast up to BROADCAST_ROWS rows, shuffled beyond.
+
+    Spark would guess from bytes of Parquet, which miss compression and exploded arrays:
+    what it took for less than its default of 10 MB did not fit a driver heap of 750 MB.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows left-joined with groups (one row a key; size: how many rows have it) on key.
 
@@ -92,7 +103,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     met = met.withColumn("_alone", alone).withColumn("_key", F.when(~apart, rows[key]))
     # 0 stands for rows that look for their cold key; the row numbered 0 has no key and meets none.
     cold = cold.withColumn("_zero", F.lit(0).cast("long"))
-    joined = met.join(cold, (met["_key"] == cold["_cold"]) & (met["_alone"] == cold["_zero"]), "left")
+    joined = met.join(cold.hint("merge"), (met["_key"] == cold["_cold"]) & (met["_alone"] == cold["_zero"]), "left")
     found = joined.withColumn("_of", F.coalesce("_of_hot", "_of_cold"))
     return found.select(*[F.col(c) for c in rows.columns], *[F.col("_of")[c].alias(c) for c in names])
 

@@ -130,7 +130,7 @@ def held_pairs(sets: DataFrame, matches: int, measure: int = 0) -> DataFrame:
     """(rep, held): each class's shared coordinate-value pairs as (n, coordinate, value), rarest first."""
     pairs = sets.select("rep", F.posexplode(F.col("signatures")[measure]).alias("coordinate", "value"))
     shared = pairs.groupBy("coordinate", "value").agg(F.count("*").alias("n")).where("n > 1")
-    met = pairs.join(shared, ["coordinate", "value"])
+    met = pairs.join(shared.hint("merge"), ["coordinate", "value"])  # pairs are 32 a class, which Spark's guess of their size misses
     held = met.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "coordinate", "value"))).alias("held"))
     return held.where(F.size("held") >= matches)
 
@@ -156,12 +156,13 @@ def first_deal(rows: DataFrame) -> DataFrame:
 
 def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(list, rep, outside, out_blocks) of the lists of members (list, rep) whose classes are not all tied by labels."""
-    known = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    known = members.join(common.by_rows(labels.select(F.col("node").alias("rep"), "component"), labels.count()), "rep", "left")
     known = common.settled(known.select("list", "rep", F.coalesce("component", "rep").alias("part")))
     parts = known.groupBy("list", "part").agg(F.count("*").alias("n"))
     main = parts.groupBy("list").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts"))
     main = main.where("parts > 1").select("list", F.col("main.part").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / F.lit(BLOCK)).alias("out_blocks"))
-    return known.join(main, "list").select("list", "rep", (F.col("part") != F.col("main")).alias("outside"), "out_blocks")
+    main = common.settled(main)
+    return known.join(common.by_rows(main, main.count()), "list").select("list", "rep", (F.col("part") != F.col("main")).alias("outside"), "out_blocks")
 
 
 def second_deal(rows: DataFrame) -> DataFrame:
@@ -279,18 +280,19 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     known, first_path = common.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     first = known.groupBy("b").agg(F.min("a").alias("m"))
-    tied = known.join(first, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    tied = known.join(common.by_rows(first, known.count()), "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     fewer = first.select(F.col("m").alias("a"), "b").unionByName(tied).distinct()
     both, path = common.written(fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     common.remove(spark, first_path)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component"))
     labels, last = common.written(labels, "labels")
+    nodes = labels.count()
     while True:
         theirs = labels.select(F.col("node").alias("b"), F.col("component").alias("low"))
-        near = both.join(theirs, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
-        nearer = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
+        near = both.join(common.by_rows(theirs, nodes), "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
+        nearer = labels.join(common.by_rows(near, nodes), "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        moved, at = common.written(nearer.join(up, "component").select("node", "old", F.least("component", "above").alias("component")), "labels")
+        moved, at = common.written(nearer.join(common.by_rows(up, nodes), "component").select("node", "old", F.least("component", "above").alias("component")), "labels")
         common.remove(spark, last)
         labels, last = moved.select("node", "component"), at
         if moved.where("old <> component").isEmpty():
@@ -334,8 +336,9 @@ def candidate_groups(sets: DataFrame, measures: tuple) -> DataFrame:
     for rows, (*_, matches) in zip(posted, measures):
         long = rows.where("blocks > 1")
         left = common.settled(apart(long.select("list", "rep"), labels))
-        if not left.isEmpty():
-            more.append(candidate_edges(second_deal(long.join(left, ["list", "rep"])), matches))
+        n = left.count()
+        if n:
+            more.append(candidate_edges(second_deal(long.join(common.by_rows(left, n), ["list", "rep"])), matches))
     if more:
         known = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
         labels = components(reduce(DataFrame.unionByName, [known, *more]))
@@ -346,7 +349,7 @@ def candidate_groups(sets: DataFrame, measures: tuple) -> DataFrame:
 
 def members_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """(list, n, blocks, rep): the candidate groups' classes; blocks are bounded in rows and in shingles."""
-    rows = common.settled(groups.join(sets.select(F.col("rep").alias("node"), "weight"), "node"))
+    rows = common.settled(sets.select(F.col("rep").alias("node"), "weight").join(common.by_rows(groups, groups.count()), "node"))
     sizes = rows.groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("shingles"))
     sized = common.join_groups(rows, common.settled(sizes), "component", "n", rows.count())
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(TEXT_BLOCK)), F.ceil(F.col("shingles") / F.lit(SHINGLE_BLOCK)))
@@ -358,7 +361,7 @@ def with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members (rep, ..) with their texts; the texts of other rows do not leave the tasks that read them, up to BROADCAST_IDS members."""
     few = members.count() <= BROADCAST_IDS
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), common.text_of(docs).alias("text"))
-    return texts.join(F.broadcast(members) if few else members, "rep")
+    return texts.join(F.broadcast(members) if few else members.hint("merge"), "rep")
 
 
 def linked_edges(dealt: DataFrame, measures: tuple) -> DataFrame:
@@ -386,7 +389,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, sets: DataFrame, measures: tup
     members = common.settled(members_of(groups, sets))
     labels = components(linked_edges(first_deal(with_texts(docs, members)), measures))
     long = members.where("blocks > 1")
-    left = common.settled(long.join(apart(long.select("list", "rep"), labels), ["list", "rep"]))
+    left = common.settled(long.join(common.by_rows(apart(long.select("list", "rep"), labels), long.count()), ["list", "rep"]))
     if left.isEmpty():
         return labels
     more = linked_edges(second_deal(with_texts(docs, left)), measures)
@@ -398,7 +401,8 @@ def near_duplicates(docs: DataFrame, measures: tuple = CONTRACT) -> DataFrame:
     rows = common.settled(sketches(docs, measures), "sketches")
     sets = common.settled(classes(rows), "classes")
     links = confirmed(docs, candidate_groups(sets, measures), sets, measures)
-    named = sets.select("digest", "rep", "n").join(links.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null")
+    links = common.by_rows(links.withColumnRenamed("node", "rep"), links.count())
+    named = sets.select("digest", "rep", "n").join(links, "rep", "left").where("n > 1 or component is not null")
     named = common.settled(named.select("digest", "n", F.coalesce("component", "rep").alias("class_component")))
     found = common.join_groups(rows.select("doc_id", "n_shingles", "digest"), named, "digest", "n", rows.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))

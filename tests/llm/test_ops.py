@@ -376,6 +376,33 @@ def test_variants_of_one_text_are_dealt_few_times(spark, g):
     assert near_dedup.second_deal(few).count() <= 2 * g
 
 
+def test_near_duplicates_broadcast_nothing_large(spark, monkeypatch):
+    """Beyond BROADCAST_ROWS and BROADCAST_IDS only the hot keys are broadcast, however small Spark guesses a table to be."""
+    from docloom.llm import common
+
+    for name, value in (("BLOCK", 6), ("TEXT_BLOCK", 5), ("HUBS", 1), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1, raising=False)
+    plans, write = [], common.written
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def written(df, name="step"):
+        plans.append(plan_of(df))
+        return write(df, name)
+
+    monkeypatch.setattr(common, "written", written)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 100])) for i in range(40)] + [(50, " ".join(words[:100])), (51, None)]
+    df = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    plans.append(plan_of(df))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert sum("SortMergeJoin" in line for line in joins) > 10
+    assert [line for line in joins if "SortMergeJoin" not in line and "_hot#" not in line] == []
+    # at least one key's classes met in a second round, whose joins are among these plans
+    assert any("out_blocks" in plan for plan in plans)
+    assert {i: (r.n_shingles, r.component_id) for i, r in by_id(df).items()} == brute_components(rows)
+
+
 def test_hot_and_null_keys_are_joined(spark, monkeypatch):
     from docloom.llm import common
 
